@@ -1,19 +1,46 @@
-"""The corpus pipeline: stages of the training-data operators over documents."""
+"""The corpus pipeline: language ID, near-duplicate removal, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ngramforge.llm import language
+from ngramforge.llm import language, minhash, packing, suffixes
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is accepted, with the language found."""
+    """Documents whose language is accepted, with the language found in lang.
+
+    Null and empty texts and ones of hardly any letter go; without labelled rows all others stay.
+    """
     return language.keep(docs)
 
 
-STAGES = [("language_id", language_id)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies: the one of least doc_id, a null one last."""
+    return minhash.keep(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stand earlier, in text and n_chars; emptied ones go."""
+    return suffixes.keep(docs)
+
+
+def packed_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of fixed length over the documents in order."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("packing", packed_windows),
+]
 
+#: Alignment, support vector machines and the packing program have no SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

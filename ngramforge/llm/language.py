@@ -188,10 +188,10 @@ def identify(docs: DataFrame, model: Model, letters: float = LETTERS, margin: fl
 
 
 def keep(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Rows of docs whose language is accepted, with lang set to the language found; without labelled rows none can be judged and all stay."""
+    """Rows of docs whose language is accepted, with lang set to the language found; without labelled rows all that hold a letter stay."""
     model = model or fit(docs)
     if not model.families:
-        return docs
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     judged = identify(docs, model).where("_accepted")
     return judged.select(*[F.col("_lang").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 

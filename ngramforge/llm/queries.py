@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ngramforge.llm import bpe, fingerprint, language, minhash, packing, pages, sharding, suffixes, wavelet
+from ngramforge.llm import bpe, fingerprint, language, minhash, neighbours, packing, pages, sharding, suffixes, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_page_text": pages.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_order_minhash": minhash.query,
     "op4_repeated_passages": suffixes.query,
     "op5_weighted_fingerprints": fingerprint.query,
+    "op6_neighbour_graph": neighbours.query,
     "op7_packing": packing.query,
     "op8_wavelet_shards": wavelet.query,
     "op9_language_id": language.query,
