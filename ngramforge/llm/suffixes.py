@@ -285,13 +285,14 @@ def keep(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     here = (content(docs["text"]) == F.col("_node")) & docs["doc_id"].eqNullSafe(F.col("_doc")) & docs["text"].isNotNull()
     whole = docs.join(cuts, here, "left_anti")
     hit = docs.join(cuts, here).drop("_node", "_doc")
-    i = docs.columns.index("text")
+    names = docs.columns
+    i = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             text = [without(*r) for r in zip(part.column("text").to_pylist(), part.column("_starts").to_pylist(), part.column("_ends").to_pylist(), strict=True)]
-            columns = [pa.array(text, pa.string()) if k == i else part.column(k) for k in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(text, pa.string()) if k == i else part.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     left = hit.mapInArrow(run, docs.schema).where(F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
