@@ -39,22 +39,23 @@ def variation(entropies: DataFrame, back: bool = False) -> DataFrame:
     return child.join(above, ["pk", "pg"]).select("k", "ngram", "entropy", ev.alias("ev"))
 
 
-def norms(variations: DataFrame, depth: int) -> DataFrame:
-    """(k, mean, stdev) of the variation over the n-grams of each length; 0 and 0 where none is defined.
-
-    One row for each length up to depth, so it may be broadcast at any input size.
-    """
+def norms(variations: DataFrame) -> DataFrame:
+    """(k, mean, stdev) of the variation over the n-grams of each length that have one; a row a length, so it may be broadcast at any input size."""
     known = variations.where("ev IS NOT NULL").groupBy("k").agg(F.avg("ev").alias("mean"), F.stddev_pop("ev").alias("stdev"))
+    return known.withColumn("stdev", F.when(F.col("stdev") < LEAST_DEVIATION, 0.0).otherwise(F.col("stdev")))
+
+
+def norm_vector(variations: DataFrame, depth: int) -> DataFrame:
+    """norms() with a row for each length from 1 to depth; mean and deviation are 0 where no variation is defined."""
     every = variations.sparkSession.range(1, depth + 1).select(F.col("id").cast("int").alias("k"))
-    small = F.when(F.col("stdev") < LEAST_DEVIATION, 0.0).otherwise(F.col("stdev"))
-    return every.join(F.broadcast(known), "k", "left").select("k", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce(small, F.lit(0.0)).alias("stdev"))
+    return every.join(F.broadcast(norms(variations)), "k", "left").select("k", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("stdev", F.lit(0.0)).alias("stdev"))
 
 
-def scored(variations: DataFrame, norm: DataFrame) -> DataFrame:
-    """variations with autonomy, (ev - mean) / stdev, and centred, ev - mean."""
+def scored(variations: DataFrame) -> DataFrame:
+    """variations with autonomy, (ev - mean) / stdev, and centred, ev - mean; NULL where ev is, autonomy also where stdev is 0."""
     off = F.col("ev") - F.col("mean")
     score = F.when(F.col("stdev") > 0, off / F.col("stdev"))
-    return variations.join(F.broadcast(norm), "k").select("k", "ngram", "entropy", "ev", score.alias("autonomy"), off.alias("centred"))
+    return variations.join(F.broadcast(norms(variations)), "k", "left").select("k", "ngram", "entropy", "ev", score.alias("autonomy"), off.alias("centred"))
 
 
 MEASURES = ("entropy", "ev", "autonomy", "centred")

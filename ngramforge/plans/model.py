@@ -79,12 +79,11 @@ class NgramModel:
         return self._direction(True)
 
     def _direction(self, back: bool) -> DataFrame:
-        variations = S.variation(S.entropy(self.counts, back), back)
-        return S.scored(variations, S.norms(variations, self.default_ngram_length))
+        return S.scored(S.variation(S.entropy(self.counts, back), back))
 
     def normalisation(self) -> DataFrame:
         """(direction, k, mean, stdev)."""
-        sides = [S.norms(S.variation(S.entropy(self.counts, back), back), self.default_ngram_length).select(F.lit(name).alias("direction"), "k", "mean", "stdev") for name, back in (("forward", False), ("backward", True))]
+        sides = [S.norm_vector(S.variation(S.entropy(self.counts, back), back), self.depth).select(F.lit(name).alias("direction"), "k", "mean", "stdev") for name, back in (("forward", False), ("backward", True))]
         return sides[0].unionByName(sides[1])
 
     @cached_property
