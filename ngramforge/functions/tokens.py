@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Runs of one general category; cased letters of either case are one class, unassigned characters the last.
 CATEGORIES = ("Lt", "Lm", "Lo", "Mn", "Mc", "Me", "Nd", "Nl", "No", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sm", "Sc", "Sk", "So", "Zs", "Zl", "Zp", "Cc", "Cf", "Co")
@@ -49,7 +50,7 @@ def cjk_chunks(text: Column) -> Column:
     return filter_cjk(category_runs(text))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no expression for it."""
     return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")

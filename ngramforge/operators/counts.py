@@ -51,13 +51,20 @@ def windows(rows: DataFrame, longest: int) -> DataFrame:
     return at.select(F.explode(F.array(*one, *more)).alias("w")).where("w IS NOT NULL").select("w.k", "w.ngram", "w.forwards", "w.backwards")
 
 
+def roots(rows: DataFrame) -> DataFrame:
+    """windows() of the empty n-gram, one for each sentence: it stands before all tokens but the last."""
+    each = F.col("freq") * (F.size("tokens") - 1)
+    return rows.select(F.lit(0).alias("k"), F.lit("").alias("ngram"), each.alias("forwards"), each.alias("backwards"))
+
+
+def summed(windows_: DataFrame) -> DataFrame:
+    return windows_.groupBy("k", "ngram").agg(F.sum("forwards").alias("count"), F.sum("backwards").alias("back_count"))
+
+
 def count(sentences: DataFrame, length: int, longest: int | None = None) -> DataFrame:
     """Counts of all n-grams of sentences; longest bounds ngram_length where that is above length."""
     rows = padded(sentences, length)
-    grams = windows(rows, longest or length).groupBy("k", "ngram").agg(F.sum("forwards").alias("count"), F.sum("backwards").alias("back_count"))
-    total = F.sum(F.col("freq") * (F.size("tokens") - 1))
-    root = rows.agg(total.alias("count")).where("count IS NOT NULL").select(F.lit(0).alias("k"), F.lit("").alias("ngram"), "count", F.col("count").alias("back_count"))
-    return grams.unionByName(root)
+    return summed(windows(rows, longest or length).unionByName(roots(rows)))
 
 
 def count_ngrams(ngrams: DataFrame) -> DataFrame:
@@ -103,6 +110,18 @@ def prune_leaves(counts: DataFrame, q: int = 1) -> DataFrame:
     return out.where("k = 0 OR count > 0")
 
 
+def prune_hapax(counts: DataFrame) -> DataFrame:
+    """Read forwards: n-grams that occur once go, and each shorter n-gram loses the occurrences that go below it."""
+    once = counts.where("k > 0 AND count = 1").select("k", "ngram")
+    above = once.withColumn("pk", F.col("k") - 1).withColumn("pg", prefix("ngram", "k"))
+    tops = above.join(once.select(F.col("k").alias("pk"), F.col("ngram").alias("pg")), ["pk", "pg"], "left_anti")
+    each = tops.select("ngram", F.explode(F.sequence(F.lit(0), F.col("pk"))).alias("k"))
+    at = each.selectExpr("k", f"CASE WHEN k > 0 THEN substring_index(ngram, '{SEP}', k) ELSE '' END AS ngram")
+    lost = at.groupBy("k", "ngram").agg(F.count("*").alias("lost"))
+    out = counts.where("k = 0 OR count > 1").join(lost, ["k", "ngram"], "left").select("k", "ngram", (F.col("count") - F.coalesce("lost", F.lit(0))).alias("count"))
+    return out.where("k = 0 OR count > 0")
+
+
 def vocabulary(counts: DataFrame, markers: bool = True) -> DataFrame:
     """(k, ngram, count): n-grams read forwards, of any length from 1; those that hold a marker may be left out."""
     out = counts.where("k >= 1 AND count > 0").select("k", "ngram", "count")
