@@ -42,6 +42,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Those names, lengthened until no column of docs is called like them in either case."""
+    held = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def content(text: Column | str = "text") -> Column:
     """64-bit key of a text.  Two texts of n share it with probability n * n / 2**65."""
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)

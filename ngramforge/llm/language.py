@@ -7,7 +7,7 @@ hashed character trigrams with the word's edges, relative to the root of their n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ngramforge.llm.common import slices, table
+from ngramforge.llm.common import column, slices, table, unused
 
 FAMILIES = {"germanic": ("de", "en", "nl", "sv", "da"), "romance": ("es", "fr", "it", "pt", "ro")}
 #: Labelled rows of each language that the machines are fitted to: bounds the sample at any input size.
@@ -163,16 +163,18 @@ def fit(docs: DataFrame, label: str = "lang", rows: int = SAMPLE_ROWS, families:
     return Model([g[0] for g in got], [g[2] for g in got], families)
 
 
-def identify(docs: DataFrame, model: Model, letters: float = LETTERS, margin: float = MARGIN) -> DataFrame:
-    """docs with _family, _lang, _margin and _accepted; nothing is shuffled.
+NEW = ("_family", "_lang", "_margin", "_accepted")
+
+
+def identify(docs: DataFrame, model: Model, letters: float = LETTERS, margin: float = MARGIN, names: Sequence[str] = NEW) -> DataFrame:
+    """docs with family, language, margin and acceptance under those names; nothing is shuffled.
 
     A null or empty text, one with few letters and one without a clear family is not accepted; its
     language is null where there is no letter.  Other rows are each judged by themselves, so
     repeated rows and ties get equal answers; all columns of docs stay, null or not; columns of
     docs called like the four new ones are replaced.
     """
-    new = ("_family", "_lang", "_margin", "_accepted")
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    kept = docs.select(*[column(c) for c in docs.columns if c not in names])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +183,9 @@ def identify(docs: DataFrame, model: Model, letters: float = LETTERS, margin: fl
             some = share > 0
             ok = (share >= letters) & (sure >= margin) & some
             extra = [pa.array(np.where(some, family, None), pa.string()), pa.array(np.where(some, lang, None), pa.string()), pa.array(sure), pa.array(ok)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, *new])
+            yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, *names])
 
-    schema = T.StructType([*kept.schema.fields, *(T.StructField(c, k) for c, k in zip(new, (T.StringType(), T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(c, k) for c, k in zip(names, (T.StringType(), T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
     return kept.mapInArrow(run, schema)
 
 
@@ -192,8 +194,9 @@ def keep(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or fit(docs)
     if not model.families:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    judged = identify(docs, model).where("_accepted")
-    return judged.select(*[F.col("_lang").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    names = unused(docs, *NEW)
+    judged = identify(docs, model, names=names).where(F.col(names[3]))
+    return judged.select(*[F.col(names[1]).alias(c) if c == "lang" else column(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ngramforge.llm.common import U64, content, cut, mix, segment_ids, slices, table, words
+from ngramforge.llm.common import U64, column, content, cut, mix, segment_ids, slices, table, unused, words
 from ngramforge.llm.components import components
 from ngramforge.llm.fingerprint import normal
 
@@ -270,15 +270,20 @@ def duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def keep(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the rows that duplicates() names; all columns stay.
 
-    Documents are only filtered: the keys of the rows that go are joined by content and doc_id.
+    The keys of the rows that go are joined by content and doc_id, which moves documents once.  Of
+    rows equal in both the one whose other columns hash least stays.
     """
     found = keepers(docs.select("doc_id", "text"), similarity).where("size > 1")
     stays = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("node") == F.col("keeper.node"))
-    marks = cut(found.select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc"), F.col("copies").alias("_copies"), stays.alias("_stays")))
-    here = (content(docs["text"]) == F.col("_node")) & docs["doc_id"].eqNullSafe(F.col("_doc")) & docs["text"].isNotNull()
-    kept = docs.join(marks.where("NOT _stays OR _copies > 1"), here, "left_anti")
-    repeated = docs.join(marks.where("_stays AND _copies > 1"), here, "left_semi")
-    return kept.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    node, doc, copies, first = unused(docs, "_node", "_doc", "_copies", "_stays")
+    marks = cut(found.select(F.col("node").alias(node), F.col("doc_id").alias(doc), F.col("copies").alias(copies), stays.alias(first)))
+    here = (content(docs["text"]) == F.col(node)) & docs["doc_id"].eqNullSafe(F.col(doc)) & docs["text"].isNotNull()
+    joined = docs.join(marks, here, "left").where(f"coalesce({first}, true)")
+    names = [column(c) for c in docs.columns]
+    plain = [column(c) for c, kind in docs.dtypes if "map<" not in kind and kind not in ("variant", "void")]
+    tie = Window.partitionBy(node, doc).orderBy(F.xxhash64(*plain))
+    several = joined.where(f"{copies} > 1").withColumn(first, F.row_number().over(tie)).where(f"{first} = 1")
+    return joined.where(f"coalesce({copies}, 1) = 1").select(*names).unionByName(several.select(*names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

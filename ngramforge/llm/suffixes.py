@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ngramforge.llm.common import U64, content, cut, mix, slices, table, words
+from ngramforge.llm.common import U64, column, content, cut, mix, slices, table, unused, words
 
 PASSAGE = 50
 ANCHOR = 20
@@ -281,23 +281,24 @@ def keep(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     Rows of which nothing is left go; others stay as they are, as do all columns.
     """
     found = spans(docs.select("doc_id", "text"), passage)
-    cuts = cut(found.groupBy(F.col("node").alias("_node"), F.col("doc_id").alias("_doc")).agg(F.collect_list("start_word").alias("_starts"), F.collect_list("end_word").alias("_ends")))
-    here = (content(docs["text"]) == F.col("_node")) & docs["doc_id"].eqNullSafe(F.col("_doc")) & docs["text"].isNotNull()
-    whole = docs.join(cuts, here, "left_anti")
-    hit = docs.join(cuts, here).drop("_node", "_doc")
+    node, doc, starts, ends = unused(docs, "_node", "_doc", "_starts", "_ends")
+    cuts = cut(found.groupBy(F.col("node").alias(node), F.col("doc_id").alias(doc)).agg(F.collect_list("start_word").alias(starts), F.collect_list("end_word").alias(ends)))
+    here = (content(docs["text"]) == F.col(node)) & docs["doc_id"].eqNullSafe(F.col(doc)) & docs["text"].isNotNull()
+    joined = docs.join(cuts, here, "left")
     names = docs.columns
     i = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            text = [without(*r) for r in zip(part.column("text").to_pylist(), part.column("_starts").to_pylist(), part.column("_ends").to_pylist(), strict=True)]
-            columns = [pa.array(text, pa.string()) if k == i else part.column(k) for k in range(len(names))]
+            at = len(names)
+            text = [without(*r) for r in zip(part.column(i).to_pylist(), part.column(at).to_pylist(), part.column(at + 1).to_pylist(), strict=True)]
+            columns = [pa.array(text, pa.string()) if k == i else part.column(k) for k in range(at)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     left = hit.mapInArrow(run, docs.schema).where(F.col("text").rlike(r"\S"))
-    if "n_chars" in docs.columns:
+    if "n_chars" in names:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(left)
+    return joined.where(F.col(starts).isNull()).select(*map(column, names)).unionByName(left)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,6 +307,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS t FROM documents),
+    hit = joined.where(F.col(starts).isNotNull()).select(*map(column, names), starts, ends)
 p AS (SELECT doc_id, s, array_to_string(list_slice(t, s + 1, s + {PASSAGE}), ' ') AS run
       FROM (SELECT doc_id, t, unnest(range(len(t) - {PASSAGE} + 1)) AS s FROM w WHERE len(t) >= {PASSAGE})),
 f AS (SELECT doc_id, s, first(doc_id) OVER o AS first_doc, row_number() OVER o AS r
