@@ -30,8 +30,10 @@ SAMPLES = 64
 SIMILARITY = 0.75
 #: Words of text hashed at a time.
 CHUNK_WORDS = 1 << 17
-#: Cells of the alignment worked on at a time.
-CELLS = 1 << 20
+#: Half the width of the first band that is tried.
+BAND = 512
+#: Positions times words from which the positions of a word are found when needed, not kept.
+PATTERN_BITS = 1 << 29
 _POSITION = 24
 
 
@@ -104,11 +106,11 @@ def distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray) ->
     """Edit distance of each pair of sequences, or its limit + 1 where it is larger.
 
     Equal ends are cut off, pairs whose multisets differ too much are out, and the rest is aligned
-    within a band around the diagonal that widens up to the limit, many pairs at once.
+    within a band around the diagonal that widens up to the limit.
     """
     out = np.zeros(len(pairs), np.int64)
-    rest: list[tuple[int, np.ndarray, np.ndarray]] = []
     for p, (a, b) in enumerate(pairs):
+        limit = int(limits[p])
         m = min(len(a), len(b))
         same = a[:m] == b[:m]
         lo = m if same.all() else int(same.argmin())
@@ -119,63 +121,71 @@ def distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray) ->
             hi = m if same.all() else int(same.argmin())
             a, b = a[: len(a) - hi], b[: len(b) - hi]
         if not len(a) or not len(b):
-            out[p] = min(len(a) + len(b), limits[p] + 1)
+            out[p] = min(len(a) + len(b), limit + 1)
             continue
         every, code = np.unique(np.concatenate((a, b)), return_inverse=True)
         count = np.bincount(code[: len(a)], minlength=len(every)) - np.bincount(code[len(a) :], minlength=len(every))
-        if max(count[count > 0].sum(), -count[count < 0].sum()) > limits[p]:
-            out[p] = limits[p] + 1
-        else:
-            rest.append((p, code[: len(a)], code[len(a) :]))
-    band = 16
-    while rest:
-        rest.sort(key=lambda r: len(r[1]))
-        left = []
-        at = 0
-        while at < len(rest):
-            stop = at + 1
-            while stop < len(rest) and (stop - at) * (2 * band + 1) < CELLS // 16 and len(rest[stop][1]) <= 1.3 * len(rest[at][1]) + 8:
-                stop += 1
-            group = rest[at:stop]
-            for (p, a, b), d in zip(group, _banded([g[1] for g in group], [g[2] for g in group], band), strict=True):
-                if d <= min(band, limits[p]):
-                    out[p] = d
-                elif band >= limits[p]:
-                    out[p] = limits[p] + 1
-                else:
-                    left.append((p, a, b))
-            at = stop
-        rest, band = left, band * 4
+        least = int(max(count[count > 0].sum(), -count[count < 0].sum()))
+        band = max(least, BAND)
+        while least <= limit:
+            band = min(band, limit)
+            found = banded(code[: len(a)], code[len(a) :], band)
+            if found <= band or band == limit:
+                least = found
+                break
+            band *= 4
+        out[p] = min(least, limit + 1)
     return out
 
 
-def _banded(first: list[np.ndarray], second: list[np.ndarray], band: int) -> np.ndarray:
-    """Edit distances within the band, exact where at most band; a row of the table at a time for all pairs."""
-    far = 1 << 28
-    n, m = np.array([len(a) for a in first]), np.array([len(b) for b in second])
+def banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Edit distance of two sequences of codes, exact where at most band, else above it.
+
+    Bit-parallel: bit t of a column of the table is the row band - t above the diagonal, and the
+    vectors hold where neighbouring cells differ by one.  The band moves down a row with each column.
+    """
+    n, m = len(a), len(b)
+    if abs(n - m) > band:
+        return band + 1
     width = 2 * band + 1
-    a = np.full((len(n), int(n.max())), -1, np.int32)
-    b = np.full((len(n), int(max(n.max(), m.max())) + 2 * width), -2, np.int32)
-    for i, (x, y) in enumerate(zip(first, second, strict=True)):
-        a[i, : len(x)], b[i, band + 1 : band + 1 + len(y)] = x, y
-    shift = np.arange(width, dtype=np.int32)
-    # Cell c of row i is column i + c - band of the table.
-    column = shift[None, :] - band
-    row = np.where((column >= 0) & (column <= m[:, None]), column, far).astype(np.int32)
-    out = np.full(len(n), far, np.int64)
-    for i in range(1, a.shape[1] + 1):
-        cost = row + (b[:, i : i + width] != a[:, i - 1 : i])
-        np.minimum(cost[:, :-1], row[:, 1:] + 1, out=cost[:, :-1])
-        if i <= band:
-            cost[:, : band - i] = far
-            cost[:, band - i] = i
-        row = np.minimum.accumulate(cost - shift, axis=1) + shift
-        ended = np.flatnonzero(n == i)
-        if len(ended):
-            c = m[ended] - i + band
-            inside = (c >= 0) & (c < width)
-            out[ended[inside]] = row[ended[inside], c[inside]]
-    return out
+    mask = (1 << width) - 1
+    up = (mask >> band) << band
+    down = 0
+    row = min(band, n)
+    score, far = row, 2 * band + m - n
+    sparse = n * (len(set(a.tolist())) // 16) > PATTERN_BITS
+    where: dict[int, int] = {}
+    if not sparse:
+        for i, c in enumerate(a.tolist()):
+            where[c] = where.get(c, 0) | 1 << i
+    top = 1 << (width - 1)
+    for j, c in enumerate(b.tolist()):
+        lo = j - band
+        if sparse:
+            part = int.from_bytes(np.packbits(a[max(lo, 0) : j + band + 1] == c, bitorder="little").tobytes(), "little")
+            x = part << -lo if lo < 0 else part
+        else:
+            x = where.get(c, 0)
+            x = (x >> lo if lo >= 0 else x << -lo) & mask
+        same = ((((x & up) + up) & mask) ^ up) | x | down
+        over = down | (mask ^ (same | up))
+        under = same & up
+        if row < n:  # down the last diagonal of the band, which never falls
+            row += 1
+            if not same & top:
+                score += 1
+                if score > far:
+                    return band + 1
+        else:
+            bit = 1 << (n - 1 - lo)
+            if over & bit:
+                score += 1
+            elif under & bit:
+                score -= 1
+        same >>= 1
+        up = under | (mask ^ (same | over))
+        down = same & over
+    return score if score <= band else band + 1
 
 
 def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
