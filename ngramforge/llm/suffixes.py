@@ -125,15 +125,12 @@ class Matcher:
     def __init__(self, passage: int):
         self.passage = passage
         self.rows: list[tuple] = []
-        self.anchor: int | None = None
-        self.seen: dict[tuple[int, bytes], int] = {}
-        self.carried: list[int] = []
+        self.most = 2 * READS
         self.found: dict[str, list] = {"doc_id": [], "node": [], "start": [], "stop": [], "first_doc_id": []}
-        self.docs: list[tuple[int, int]] = []
 
     def take(self, anchor: int, doc_id: int, node: int, start: int, left: int, text: bytes) -> None:
         self.rows.append((anchor, doc_id, node, start, left, text))
-        if len(self.rows) >= 2 * READS:
+        if len(self.rows) >= self.most:
             self.work(last=False)
 
     def work(self, last: bool) -> None:
@@ -148,6 +145,8 @@ class Matcher:
         several: dict[int, int] = {}
         for i in distinct:
             several[rows[i][0]] = several.get(rows[i][0], 0) + 1
+            # Twice what is carried: the reads of a frequent anchor are sorted a few times each, not once for every new one.
+            self.most = 2 * max(READS, len(self.rows))
         ids = sorted({(r[1], r[2]) for r in rows})
         rank = {d: k for k, d in enumerate(ids)}
         place = np.array([(rank[r[1], r[2]] << 32) + r[3] for r in rows], np.int64)
