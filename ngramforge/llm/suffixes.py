@@ -63,25 +63,48 @@ def anchors(offsets: np.ndarray, hashes: np.ndarray, passage: int = PASSAGE, anc
     return text, at - offsets[text], value[at]
 
 
-def suffix_order(symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(read, start) of all suffixes in order; symbols: a row for each read, left-aligned, above 0.
-
-    The empty suffixes come first.  In each round the suffixes known so far, each with one symbol
-    put in front, are exactly the non-empty suffixes of the next round.
+def least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Least of values[lo + 1 : hi + 1] for each lo and hi, lo < hi, from the minima of runs of each power of two."""
+    out = values[hi]
+    span = hi - lo
+    wide = np.flatnonzero(span > 1)
+    level = np.frexp(span[wide].astype(np.float32))[1] - 1
+    run = values
+    for k in range(1, int(level.max(initial=0)) + 1):
+        half = 1 << (k - 1)
+        run = np.minimum(run[:-half], run[half:])
+        own = wide[level == k]
+        out[own] = np.minimum(run[lo[own] + 1], run[hi[own] + 1 - 2 * half])
+    return out
+
+
+def suffix_order(symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(read, start, common) of all suffixes in order; symbols: a row for each read, left-aligned, above 0.
+
+    common is the length of the prefix that a suffix shares with the one before it.  In each round
+    the suffixes known so far, each with one symbol put in front, are exactly the non-empty suffixes
+    of the next round: before is their Burrows-Wheeler transform, whose stable sort is the new
+    order.  Two that follow each other and start alike share one symbol more than the least prefix
+    shared between their tails.
     """
     n = len(size)
     every = np.arange(n, dtype=np.int32)
     size = size.astype(np.int32)
     flat = np.concatenate((symbols, np.zeros((n, 1), symbols.dtype)), axis=1).reshape(-1)
     width = symbols.shape[1] + 1
-    read, start = every, size
+    kind = np.int16 if width < 1 << 14 else np.int32
+    read, start, common = every, size, np.zeros(n, kind)
     before = np.where(start > 0, flat[read * width + np.maximum(start - 1, 0)], 0)
     for _ in range(int(size.max(initial=0))):
         going = np.flatnonzero(before)
         order = going[np.argsort(before[going], kind="stable")]
-        read, start = np.concatenate((every, read[order])), np.concatenate((size, start[order] - 1))
+        first = before[order]
+        alike = np.flatnonzero(first[1:] == first[:-1]) + 1
+        shared = np.zeros(n + len(order), kind)
+        shared[n + alike] = least_between(common, order[alike - 1], order[alike]) + 1
+        read, start, common = np.concatenate((every, read[order])), np.concatenate((size, start[order] - 1)), shared
         before = flat[read.astype(np.int64) * width + np.where(start > 0, start - 1, width - 1)]
-    return read[n:], start[n:]
+    return read[n:], start[n:], common[n + 1 :]
 
 
 def repeats(reads: list[np.ndarray], where: np.ndarray, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,23 +118,13 @@ def repeats(reads: list[np.ndarray], where: np.ndarray, passage: int = PASSAGE)
     kind = np.uint16 if len(names) < (1 << 16) - 1 else np.uint32
     symbols = np.zeros((len(reads), int(size.max())), kind)
     symbols[np.arange(symbols.shape[1])[None, :] < size[:, None]] = code + 1
-    read, start = suffix_order(symbols, size)
-    whole = size[read] - start >= passage
-    read, start = read[whole], start[whole]
-    if not len(read):
-        return read, start, where[:0]
-    # Neighbours with a common prefix of that many words.
-    same = np.arange(1, len(read))
-    for i in range(passage):
-        same = same[symbols[read[same], start[same] + i] == symbols[read[same - 1], start[same - 1] + i]]
-        if not len(same):
-            break
-    first = np.ones(len(read), bool)
-    first[same] = False
+    read, start, common = suffix_order(symbols, size)
+    # Runs of suffixes that share a passage; a shorter suffix is a run by itself.
+    first = np.append(True, common < passage)
+    edge = np.flatnonzero(first)
     place = where[read] + start
-    least = np.minimum.reduceat(place, np.flatnonzero(first))
-    least = np.repeat(least, np.diff(np.append(np.flatnonzero(first), len(read))))
-    late = place > least
+    least = np.repeat(np.minimum.reduceat(place, edge), np.diff(np.append(edge, len(read))))
+    late = (place > least) & (size[read] - start >= passage)
     return read[late], start[late], least[late]
 
 
@@ -132,6 +145,8 @@ class Matcher:
         self.rows.append((anchor, doc_id, node, start, left, text))
         if len(self.rows) >= self.most:
             self.work(last=False)
+            # Twice what is carried: the reads of a frequent anchor are sorted a few times each, not once for every new one.
+            self.most = 2 * max(READS, len(self.rows))
 
     def work(self, last: bool) -> None:
         """Matches the rows held; the last anchor's reads are carried unless there is no more."""
@@ -145,8 +160,6 @@ class Matcher:
         several: dict[int, int] = {}
         for i in distinct:
             several[rows[i][0]] = several.get(rows[i][0], 0) + 1
-            # Twice what is carried: the reads of a frequent anchor are sorted a few times each, not once for every new one.
-            self.most = 2 * max(READS, len(self.rows))
         ids = sorted({(r[1], r[2]) for r in rows})
         rank = {d: k for k, d in enumerate(ids)}
         place = np.array([(rank[r[1], r[2]] << 32) + r[3] for r in rows], np.int64)
@@ -294,6 +307,7 @@ def keep(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
             columns = [pa.array(text, pa.string()) if k == i else part.column(k) for k in range(at)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    hit = joined.where(F.col(starts).isNotNull()).select(*map(column, names), starts, ends)
     left = hit.mapInArrow(run, docs.schema).where(F.col("text").rlike(r"\S"))
     if "n_chars" in names:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -306,7 +320,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS t FROM documents),
-    hit = joined.where(F.col(starts).isNotNull()).select(*map(column, names), starts, ends)
 p AS (SELECT doc_id, s, array_to_string(list_slice(t, s + 1, s + {PASSAGE}), ' ') AS run
       FROM (SELECT doc_id, t, unnest(range(len(t) - {PASSAGE} + 1)) AS s FROM w WHERE len(t) >= {PASSAGE})),
 f AS (SELECT doc_id, s, first(doc_id) OVER o AS first_doc, row_number() OVER o AS r
