@@ -22,7 +22,7 @@ def checked(freq: Column) -> Column:
 
 
 def padded(sentences: DataFrame, length: int) -> DataFrame:
-    """(tokens, freq, n): escaped tokens between the markers; empty sentences are left out.
+    """(tokens, freq, n): escaped tokens between the markers; empty sentences and null tokens are left out.
 
     sentences has tokens array<string> and, where they differ, freq and ngram_length.
     """
@@ -30,8 +30,21 @@ def padded(sentences: DataFrame, length: int) -> DataFrame:
         raise ValueError("n-grams have one token at least")
     freq = checked(F.coalesce(F.col("freq").cast("long"), F.lit(1))) if "freq" in sentences.columns else F.lit(1).cast("long")
     n = F.coalesce(F.col("ngram_length"), F.lit(length)) if "ngram_length" in sentences.columns else F.lit(length)
-    tokens = F.concat(F.array(F.lit(START)), F.transform("tokens", escape), F.array(F.lit(END)))
-    return sentences.where(F.size("tokens") > 0).select(tokens.alias("tokens"), freq.alias("freq"), n.cast("int").alias("n"))
+    known = F.filter("tokens", lambda t: t.isNotNull())
+    tokens = F.concat(F.array(F.lit(START)), F.transform(known, escape), F.array(F.lit(END)))
+    return sentences.where(F.size(known) > 0).select(tokens.alias("tokens"), freq.alias("freq"), n.cast("int").alias("n"))
+
+
+def shifted(rows: DataFrame, tokens: str, longest: int, *kept: str) -> DataFrame:
+    """(kept, at, t1, t2, ...): each token with those that follow it, NULL beyond the end.
+
+    The arrays are zipped before they are exploded: no row carries its whole sentence along.
+    """
+    names = [f"t{j}" for j in range(1, longest + 1)]
+    ahead = [(F.slice(tokens, j + 1, F.size(tokens)) if j else F.col(tokens)).alias(name) for j, name in enumerate(names)]
+    zipped = rows.select(*kept, *ahead).select(*kept, F.posexplode(F.arrays_zip(*names)).alias("at", "t"))
+    # A slice beyond the end is empty, so the zipped array is as long as the sentence.
+    return zipped.select(*kept, "at", "t.*")
 
 
 def windows(rows: DataFrame, longest: int) -> DataFrame:
@@ -40,15 +53,13 @@ def windows(rows: DataFrame, longest: int) -> DataFrame:
     The last token starts no window read forwards and the first none read backwards, so each is no
     single token in that direction.  Keys are built by generated code, not by lambdas.
     """
-    at = rows.select("tokens", "freq", "n", F.posexplode("tokens").alias("i", "t1"))
-    size = F.size("tokens")
-    parts = [F.col("t1"), *(F.get("tokens", F.col("i") + j) for j in range(1, longest))]
-    one = [F.struct(F.lit(1).alias("k"), F.col("t1").alias("ngram"), F.when(F.col("i") < size - 1, F.col("freq")).otherwise(0).alias("forwards"), F.when(F.col("i") > 0, F.col("freq")).otherwise(0).alias("backwards"))]
+    at = shifted(rows, "tokens", max(2, longest), "freq", "n")
+    one = F.struct(F.lit(1).alias("k"), F.col("t1").alias("ngram"), F.when(F.col("t2").isNotNull(), F.col("freq")).otherwise(0).alias("forwards"), F.when(F.col("at") > 0, F.col("freq")).otherwise(0).alias("backwards"))
     more = [
-        F.when((F.col("n") >= k) & (F.col("i") + k <= size), F.struct(F.lit(k).alias("k"), F.concat_ws(SEP, *parts[:k]).alias("ngram"), F.col("freq").alias("forwards"), F.col("freq").alias("backwards")))
+        F.when((F.col("n") >= k) & F.col(f"t{k}").isNotNull(), F.struct(F.lit(k).alias("k"), F.concat_ws(SEP, *(f"t{j}" for j in range(1, k + 1))).alias("ngram"), F.col("freq").alias("forwards"), F.col("freq").alias("backwards")))
         for k in range(2, longest + 1)
     ]
-    return at.select(F.explode(F.array(*one, *more)).alias("w")).where("w IS NOT NULL").select("w.k", "w.ngram", "w.forwards", "w.backwards")
+    return at.select(F.explode(F.array(one, *more)).alias("w")).where("w IS NOT NULL").select("w.k", "w.ngram", "w.forwards", "w.backwards")
 
 
 def roots(rows: DataFrame) -> DataFrame:

@@ -61,7 +61,38 @@ def scored(variations: DataFrame) -> DataFrame:
 MEASURES = ("entropy", "ev", "autonomy", "centred")
 
 
-def averaged(forwards: DataFrame, backwards: DataFrame) -> DataFrame:
-    """Each measure as the mean of both directions, NULL where either is; n-grams without children in either are absent."""
-    back = backwards.select("k", "ngram", *(F.col(m).alias(f"back_{m}") for m in MEASURES))
-    return forwards.join(back, ["k", "ngram"]).select("k", "ngram", *(((F.col(m) + F.col(f"back_{m}")) / 2).alias(m) for m in MEASURES))
+def both_entropies(counts: DataFrame) -> DataFrame:
+    """entropy() of both directions, told apart by back, from one pass over counts and one shuffle.
+
+    The keys are never NULL, and known not to be: the table then enters the join with its parents
+    on both sides without a filter on either, so that its shuffle is used for both.
+    """
+    key = lambda c: F.coalesce(c, F.lit(""))
+    sides = F.array(
+        F.struct(F.lit(False).alias("back"), key(prefix("ngram", "k")).alias("ngram"), F.col("count").alias("c"), last(F.col("ngram")).isin(*MARKERS).alias("t")),
+        F.struct(F.lit(True).alias("back"), key(suffix("ngram", "k")).alias("ngram"), F.col("back_count").alias("c"), first(F.col("ngram")).isin(*MARKERS).alias("t")),
+    )
+    rows = counts.where("k > 0").select(F.coalesce(F.col("k") - 1, F.lit(0)).alias("k"), F.explode(sides).alias("s")).select("k", "s.*").where("c > 0")
+    rows = rows.withColumn("back", F.coalesce("back", F.lit(False))).withColumn("ngram", key(F.col("ngram")))
+    summed = rows.groupBy("back", "k", "ngram").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("t"), 0.0).otherwise(F.col("c") * F.log2("c"))).alias("q"), F.count("*").alias("children"), F.max("t").alias("ends"))
+    zero = (F.col("n") == 1) | ((F.col("children") == 1) & ~F.col("ends"))
+    return summed.select("back", "k", "ngram", F.when(zero, 0.0).otherwise(F.log2("n") - F.col("q") / F.col("n")).alias("entropy"))
+
+
+def averaged(counts: DataFrame) -> DataFrame:
+    """(k, ngram, MEASURES): each measure as the mean of both directions, NULL where either is; n-grams without children in either are absent."""
+    entropies = both_entropies(counts)
+    above = F.when(F.col("back"), suffix("ngram", "k")).otherwise(prefix("ngram", "k"))
+    # The empty n-gram finds no parent of length -1.
+    child = entropies.select("back", "k", "ngram", "entropy", (F.col("k") - 1).alias("pk"), above.alias("pg"))
+    parent = entropies.select(F.col("back").alias("pb"), F.col("k").alias("k_"), F.col("ngram").alias("ngram_"), F.col("entropy").alias("h"))
+    joined = child.join(parent, (F.col("back") == F.col("pb")) & (F.col("pk") == F.col("k_")) & (F.col("pg") == F.col("ngram_")))
+    ev = F.when((F.col("entropy") != 0) | (F.col("h") != 0), F.col("entropy") - F.col("h"))
+    variations = joined.select("back", "k", "ngram", "entropy", ev.alias("ev"))
+    known = variations.where("ev IS NOT NULL").groupBy("back", "k").agg(F.avg("ev").alias("mean"), F.stddev_pop("ev").alias("stdev"))
+    off = F.col("ev") - F.col("mean")
+    # A row for each length and direction: small at any input size.
+    scored = variations.join(F.broadcast(known), ["back", "k"], "left").select("back", "k", "ngram", "entropy", "ev", F.when(F.col("stdev") >= LEAST_DEVIATION, off / F.col("stdev")).alias("autonomy"), off.alias("centred"))
+    side = lambda m, back: F.max(F.when(F.col("back") == back, F.col(m)))
+    means = [((side(m, False) + side(m, True)) / 2).alias(m) for m in MEASURES]
+    return scored.groupBy("k", "ngram").agg(F.count("*").alias("sides"), *means).where("sides = 2").select("k", "ngram", *MEASURES)

@@ -89,7 +89,7 @@ class NgramModel:
     @cached_property
     def scores(self) -> DataFrame:
         """(k, ngram, entropy, ev, autonomy, centred) of n-grams with children in both directions."""
-        return S.averaged(self.forwards, self.backwards)
+        return S.averaged(self.counts)
 
     def root_entropy(self) -> DataFrame:
         """(entropy) of the empty n-gram, the mean of both directions."""
