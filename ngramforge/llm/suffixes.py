@@ -3,12 +3,14 @@
 A passage is any run of PASSAGE words; it repeats where the same run stands earlier, in the order
 of doc_id and position.  To bring repeats together without moving whole texts, each run names an
 anchor: the k-mer of ANCHOR words with the least hash in it.  Runs that are alike name the same
-anchor, and only anchors that occur twice are followed.  What a run with such an anchor can span is
-cut out of the text as a read, and reads meet by anchor.  Each task sorts all suffixes of its reads
-column by column: every round puts one more symbol in front of each read, by a stable
-sort of the Burrows-Wheeler transform so far, which holds the symbol before each suffix; so the
-order of the longer suffixes follows from that of the shorter ones.  Neighbours in the final order
-that have PASSAGE words in common form a run of equal passages.
+anchor, and only anchors that occur twice are followed.  What the runs of an anchor can span is a
+read; a key tells reads apart before any word is moved, so that of equal reads only the first is
+cut out of its text, and of anchors with one key none.  Reads meet by anchor.  Each task drops what
+no other read can share and sorts all suffixes of the rest column by column: every round puts one
+more symbol in front of each read, by a stable sort of the Burrows-Wheeler transform so far, which
+holds the symbol before each suffix; so the order of the longer suffixes, and their common prefixes,
+follow from those of the shorter ones.  Neighbours in the final order that have PASSAGE words in
+common form a run of equal passages.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from ngramforge.llm.common import U64, column, content, cut, mix, slices, table,
 
 PASSAGE = 50
 ANCHOR = 20
-#: Reads whose suffixes are sorted together, and rows of one anchor that are taken at a time.
+#: Reads whose suffixes are sorted together.
 READS = 2048
 _NO_ID = np.iinfo(np.int64).max
 _WORD = re.compile(r"\S+")
@@ -107,103 +109,151 @@ def suffix_order(symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.
     return read[n:], start[n:], common[n + 1 :]
 
 
-def repeats(reads: list[np.ndarray], where: np.ndarray, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(read, start, earliest) of the passages that stand earlier too.
+def repeats(symbols: np.ndarray, size: np.ndarray, where: np.ndarray, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(read, start, earliest) of all passages of the reads.
 
     where[r] is the place of the read's first word in one order of all texts and positions;
-    earliest is the least place of an equal passage.
+    earliest is the least place of an equal passage, be it the passage itself.
     """
-    size = np.array([len(r) for r in reads])
-    names, code = np.unique(np.concatenate(reads), return_inverse=True)
-    kind = np.uint16 if len(names) < (1 << 16) - 1 else np.uint32
-    symbols = np.zeros((len(reads), int(size.max())), kind)
-    symbols[np.arange(symbols.shape[1])[None, :] < size[:, None]] = code + 1
     read, start, common = suffix_order(symbols, size)
     # Runs of suffixes that share a passage; a shorter suffix is a run by itself.
-    first = np.append(True, common < passage)
-    edge = np.flatnonzero(first)
+    edge = np.flatnonzero(np.append(True, common < passage))
     place = where[read] + start
     least = np.repeat(np.minimum.reduceat(place, edge), np.diff(np.append(edge, len(read))))
-    late = (place > least) & (size[read] - start >= passage)
-    return read[late], start[late], least[late]
+    whole = size[read] - start >= passage
+    return read[whole], start[whole], least[whole]
 
 
-class Matcher:
-    """Takes the reads of an anchor in document order and gives the passages that repeat.
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, U64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-    Equal reads are looked at once.  Of an anchor with more rows than are held at a time, the reads
-    that held the earliest of some passage are carried on, so that the answer is the same.
-    """
 
-    def __init__(self, passage: int):
-        self.passage = passage
-        self.rows: list[tuple] = []
-        self.most = 2 * READS
-        self.found: dict[str, list] = {"doc_id": [], "node": [], "start": [], "stop": [], "first_doc_id": []}
-
-    def take(self, anchor: int, doc_id: int, node: int, start: int, left: int, text: bytes) -> None:
-        self.rows.append((anchor, doc_id, node, start, left, text))
-        if len(self.rows) >= self.most:
-            self.work(last=False)
-            # Twice what is carried: the reads of a frequent anchor are sorted a few times each, not once for every new one.
-            self.most = 2 * max(READS, len(self.rows))
-
-    def work(self, last: bool) -> None:
-        """Matches the rows held; the last anchor's reads are carried unless there is no more."""
-        rows = self.rows
-        if not rows:
-            return
-        # Equal reads of an anchor: the first stands for all.
-        leader: dict[tuple[int, int, bytes], int] = {}
-        lead = [leader.setdefault((r[0], r[4], r[5]), i) for i, r in enumerate(rows)]
-        distinct = sorted(set(lead))
-        several: dict[int, int] = {}
-        for i in distinct:
-            several[rows[i][0]] = several.get(rows[i][0], 0) + 1
-        ids = sorted({(r[1], r[2]) for r in rows})
-        rank = {d: k for k, d in enumerate(ids)}
-        place = np.array([(rank[r[1], r[2]] << 32) + r[3] for r in rows], np.int64)
-        earliest: dict[int, np.ndarray] = {}
-        work = [i for i in distinct if several[rows[i][0]] > 1]
-        at = 0
-        while at < len(work):
-            stop = min(len(work), at + READS)
-            while stop < len(work) and rows[work[stop]][0] == rows[work[stop - 1]][0]:
-                stop += 1
-            part = work[at:stop]
-            read, start, least = repeats([np.frombuffer(rows[i][5], np.uint32) for i in part], place[part], self.passage)
-            for r in np.unique(read):
-                own = read == r
-                held = np.full(len(rows[part[r]][5]) // 4 - self.passage + 1, -1, np.int64)
-                held[start[own]] = least[own]
-                earliest[part[r]] = held
-            at = stop
-        final = rows[-1][0]
-        fresh: list[tuple] = []
-        for i, row in enumerate(rows):
-            n = len(row[5]) // 4 - self.passage + 1
-            own = earliest.get(lead[i])
-            own = np.full(n, -1, np.int64) if own is None else own
-            if lead[i] != i:  # a copy: each passage stands in its leader too
-                own = np.where(own < 0, place[lead[i]] + np.arange(n), own)
-                own = np.where(own == place[i] + np.arange(n), -1, own)
-            if not last and row[0] == final and lead[i] == i and (own < 0).any():
-                fresh.append(row)
-            late = np.flatnonzero(own >= 0)
-            if len(late):
-                edge = np.flatnonzero(np.diff(late) > 1)
-                for a, b in zip(np.append(0, edge + 1), np.append(edge, len(late) - 1), strict=True):
-                    self.found["doc_id"].append(row[1])
-                    self.found["node"].append(row[2])
-                    self.found["start"].append(row[3] + int(late[a]))
-                    self.found["stop"].append(row[3] + int(late[b]) + self.passage)
-                    self.found["first_doc_id"].append(ids[int(own[late[a : b + 1]].min()) >> 32][0])
-        self.rows = fresh
-
-    def give(self) -> pa.RecordBatch:
-        found, self.found = self.found, {k: [] for k in self.found}
-        batch = {k: pa.array(v, pa.int32() if k in ("start", "stop") else pa.int64()) for k, v in found.items()}
-        return pa.RecordBatch.from_pydict(batch)
+def stretch_keys(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """64-bit key of values[lo:hi] for each lo and hi, whatever lo is."""
+    total = np.concatenate((np.zeros(1, U64), np.cumsum(values * powers(_BASE, len(values))[:-1])))
+    return mix((total[hi] - total[lo]) * powers(_BACK, len(values))[lo] + (hi - lo).astype(U64))
+
+
+def earliest(words_: np.ndarray, offsets: np.ndarray, where: np.ndarray, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(read, start, earliest) of the passages that more than one place of the reads holds, in order of read and start.
+
+    Passages whose key stands once cannot repeat; of equal stretches of the others one is sorted.
+    """
+    size = np.diff(offsets)
+    runs = np.maximum(size - passage + 1, 0)
+    ends = np.cumsum(runs)
+    read = np.repeat(np.arange(len(size)), runs)
+    start = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - runs, runs)
+    at = offsets[read] + start
+    key = stretch_keys(mix(words_.astype(U64) + U64(1)), at, at + passage)
+    _, code, count = np.unique(key, return_inverse=True, return_counts=True)
+    often = count[code] > 1
+    read, start, at, key = read[often], start[often], at[often], key[often]
+    if not len(read):
+        return read, start, start
+    new = np.append(True, (read[1:] != read[:-1]) | (start[1:] != start[:-1] + 1))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(read)) - 1
+    place = where[read[first]] + start[first]
+    # A stretch of at most two passages' length is known by its first and last one; longer ones are all sorted.
+    length = last - first + passage
+    own = np.where(length <= 2 * passage, U64(0), np.arange(len(first), dtype=U64) + U64(1))
+    same = mix(key[first] ^ mix(key[last] ^ mix(length.astype(U64) ^ mix(own))))
+    order = np.lexsort((place, same))
+    lead = np.append(True, same[order][1:] != same[order][:-1])
+    kind = np.empty(len(first), np.int64)
+    kind[order] = np.cumsum(lead) - 1
+    chosen = order[lead]
+    least = np.empty(int((last - first + 1)[chosen].sum()), np.int64)
+    begin = np.concatenate(([0], np.cumsum((last - first + 1)[chosen])))
+    for a in range(0, len(chosen), READS):  # equal passages of different blocks meet below
+        part = chosen[a : a + READS]
+        width = length[part]
+        index = at[first[part]][:, None] + np.arange(int(width.max()))[None, :]
+        inside = np.arange(int(width.max()))[None, :] < width[:, None]
+        names, code = np.unique(words_[index[inside]], return_inverse=True)
+        symbols = np.zeros(inside.shape, np.uint16 if len(names) < (1 << 16) - 1 else np.uint32)
+        symbols[inside] = code + 1
+        r, o, found = repeats(symbols, width, place[part], passage)
+        least[begin[a + r] + o] = found
+    if len(chosen) > READS:
+        keys = np.concatenate([key[first[c] : last[c] + 1] for c in chosen])
+        _, code = np.unique(keys, return_inverse=True)
+        over = np.full(int(code.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(over, code, least)
+        least = over[code]
+    stretch = np.cumsum(new) - 1
+    return read, start, least[begin[kind[stretch]] + np.arange(len(read)) - first[stretch]]
+
+
+def _places(doc: np.ndarray, node: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each row in the order of doc_id, node and start, and the doc_id of each place >> 32."""
+    order = np.lexsort((node, doc))
+    new = np.append(True, (doc[order][1:] != doc[order][:-1]) | (node[order][1:] != node[order][:-1]))
+    rank = np.empty(len(doc), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return (rank << 32) + start, doc[order][new]
+
+
+def match(rows: pa.Table, passage: int = PASSAGE) -> pa.RecordBatch:
+    """Repeated stretches of whole anchors' rows: by anchor and key, the read's words first, then its places in order."""
+    anchor, key, node, start, size = (rows.column(c).to_numpy() for c in ("anchor", "key", "node", "start", "size"))
+    doc = rows.column("doc_id").fill_null(_NO_ID).to_numpy()
+    text = rows.column("words").combine_chunks()
+    head = text.is_valid().to_numpy(zero_copy_only=False)
+    read = np.cumsum(head) - 1
+    place, ids = _places(doc, node, start)
+    lead = np.flatnonzero(head) + 1
+    where = place[lead]
+    held = text.filter(pa.array(head)).cast(pa.large_binary())
+    raw = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    words_ = np.frombuffer(held.buffers()[2], np.uint8)[raw[0] : raw[-1]].view(np.uint32)
+    r, s, least = earliest(words_, (raw - raw[0]) // 4, where, passage)
+    first = where.copy()
+    np.minimum.at(first, r, least)
+    late = where[r] + s > least
+    r, s, least = r[late], s[late], least[late]
+    edge = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1))) if len(r) else np.zeros(0, np.int64)
+    last = np.append(edge[1:], len(r)) - 1 if len(r) else edge
+    lead = lead[r[edge]]
+    found = np.minimum.reduceat(least, edge) if len(edge) else least
+    copy = ~head
+    copy[np.flatnonzero(head) + 1] = False
+    copy = np.flatnonzero(copy)
+    out = (
+        np.concatenate((doc[lead], doc[copy])),
+        np.concatenate((node[lead], node[copy])),
+        np.concatenate((start[lead] + s[edge], start[copy])).astype(np.int32),
+        np.concatenate((start[lead] + s[last] + passage, start[copy] + size[copy])).astype(np.int32),
+        ids[np.concatenate((found, first[read[copy]])) >> 32],
+    )
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc_id", "node", "start", "stop", "first_doc_id"])
+
+
+def _whole_anchors(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Rows in order, in tables of about that many, cut between anchors only."""
+    held: list[pa.RecordBatch] = []
+    rows, most = 0, least
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < most:
+            continue
+        whole = pa.Table.from_batches(held)
+        anchor = whole.column("anchor").to_numpy()
+        end = int(np.searchsorted(anchor, anchor[-1]))
+        if end:
+            yield whole.slice(0, end)
+        held, rows = whole.slice(end).to_batches(), len(anchor) - end
+        most = max(least, 2 * rows)
+    if rows:
+        yield pa.Table.from_batches(held)
 
 
 def spans(docs: DataFrame, passage: int = PASSAGE, anchor: int = ANCHOR) -> DataFrame:
@@ -217,56 +267,56 @@ def spans(docs: DataFrame, passage: int = PASSAGE, anchor: int = ANCHOR) -> Data
     touch are one stretch; an empty table gives no rows; further columns are left out.
     """
     texts = docs.where("text IS NOT NULL").select("doc_id", content().alias("node"), "text")
+    reach = passage - anchor
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            text, position, value = anchors(*words(part.column("text")), passage, anchor)
+            offsets, hashes = words(part.column("text"))
+            text, position, value = anchors(offsets, hashes, passage, anchor)
+            lo = np.maximum(position - reach, 0)
+            hi = np.minimum(position + passage, np.diff(offsets)[text])
+            key = mix(stretch_keys(hashes, offsets[text] + lo, offsets[text] + hi) + (position - lo).astype(U64)) if len(text) else value
             rows = pa.array(text)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(rows), part.column("node").take(rows), pa.array(position.astype(np.int32)), pa.array(value.view(np.int64))], names=["doc_id", "node", "position", "anchor"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(value.view(np.int64)), pa.array(key.view(np.int64)), part.column("doc_id").take(rows), part.column("node").take(rows), pa.array(lo.astype(np.int32)), pa.array((hi - lo).astype(np.int32))],
+                names=["anchor", "key", "doc_id", "node", "start", "size"],
+            )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = passage - anchor
         for part in slices(batches):
             offsets, hashes = words(part.column("text"))
-            short = (hashes >> U64(32)).astype(np.uint32)
+            raw = (hashes >> U64(32)).astype(np.uint32).tobytes()
             marks = part.column("marks")
             begin = marks.offsets.to_numpy().astype(np.int64)
             flat = marks.values.slice(begin[0], begin[-1] - begin[0])
-            owner = np.repeat(np.arange(part.num_rows), np.diff(begin))
-            position = flat.field("position").to_numpy(zero_copy_only=False).astype(np.int64)
-            size = np.diff(offsets)[owner]
-            lo = np.maximum(position - reach, 0)
-            hi = np.minimum(position + passage, size)
-            raw = short.tobytes()
-            base = offsets[:-1][owner]
-            held = [raw[4 * a : 4 * b] for a, b in zip(base + lo, base + hi, strict=True)]
-            rows = pa.array(owner)
-            for at in range(0, len(held), 8192):
-                to = slice(at, at + 8192)
-                own = rows[to]
-                yield pa.RecordBatch.from_arrays(
-                    [flat.field("anchor").slice(at, 8192), part.column("doc_id").take(own), part.column("node").take(own), pa.array(lo[to].astype(np.int32)), pa.array((position - lo)[to].astype(np.int32)), pa.array(held[to], pa.binary())],
-                    names=["anchor", "doc_id", "node", "start", "lead", "words"],
-                )
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(passage)
-        for batch in batches:
-            columns = [batch.column(0), batch.column(1).fill_null(_NO_ID), *batch.columns[2:]]
-            for row in zip(*(c.to_pylist() for c in columns), strict=True):
-                matcher.take(*row)
-            if matcher.found["node"]:
-                yield matcher.give()
-        matcher.work(last=True)
-        yield matcher.give()
-
-    named = texts.mapInArrow(name, "doc_id long, node long, position int, anchor long").distinct()
-    often = named.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
-    marks = often.groupBy(F.col("node").alias("_node"), F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("position", "anchor")).alias("marks"))
+            lo = np.repeat(offsets[:-1], np.diff(begin)) + flat.field("start").to_numpy(zero_copy_only=False)
+            hi = lo + flat.field("size").to_numpy(zero_copy_only=False)
+            for at in range(0, len(lo), 8192):
+                held = [raw[4 * a : 4 * b] for a, b in zip(lo[at : at + 8192].tolist(), hi[at : at + 8192].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([flat.field("anchor").slice(at, 8192), flat.field("key").slice(at, 8192), pa.array(held, pa.binary())], names=["anchor", "key", "words"])
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_anchors(batches, 4 * READS):
+            yield match(rows, passage)
+
+    named = texts.mapInArrow(name, "anchor long, key long, doc_id long, node long, start int, size int").repartition("anchor").distinct()
+    in_order = [F.col("doc_id").asc_nulls_last(), "node", "start"]
+    equal = Window.partitionBy("anchor", "key").orderBy(*in_order)
+    every = Window.partitionBy("anchor")
+    often = named.withColumn("n", F.count("*").over(every)).where("n > 1")
+    often = often.withColumn("i", F.row_number().over(equal)).withColumn("first_doc_id", F.first("doc_id").over(equal)).withColumn("reads", F.count_if(F.col("i") == 1).over(every))
+    often = cut(often.drop("n"))
+    # An anchor with one read: all but the first are copies of it.
+    copies = often.where("reads = 1 AND i > 1").select("doc_id", "node", "start", (F.col("start") + F.col("size")).alias("stop"), "first_doc_id")
+    several = often.where("reads > 1")
+    marks = several.where("i = 1").groupBy(F.col("node").alias("_node"), F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("anchor", "key", "start", "size")).alias("marks"))
     held = texts.join(marks, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).dropDuplicates(["node", "doc_id"])
-    reads = held.select("doc_id", "node", "text", "marks").mapInArrow(read, "anchor long, doc_id long, node long, start int, lead int, words binary")
-    reads = reads.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_last(), "node", "start")
-    found = reads.mapInArrow(match, "doc_id long, node long, start int, stop int, first_doc_id long")
+    reads = held.select("text", "marks").mapInArrow(read, "anchor long, key long, words binary")
+    rows = reads.select("anchor", "key", F.lit(None).cast("long").alias("doc_id"), *(F.lit(0).cast(k).alias(c) for c, k in (("node", "long"), ("start", "int"), ("size", "int"))), "words")
+    rows = rows.unionByName(several.select("anchor", "key", "doc_id", "node", "start", "size", F.lit(None).cast("binary").alias("words")))
+    rows = rows.repartition("anchor").sortWithinPartitions("anchor", "key", F.col("words").isNull(), *in_order)
+    found = rows.mapInArrow(matched, "doc_id long, node long, start int, stop int, first_doc_id long")
+    found = found.unionByName(copies.withColumn("first_doc_id", F.coalesce("first_doc_id", F.lit(int(_NO_ID)))).withColumn("doc_id", F.coalesce("doc_id", F.lit(int(_NO_ID)))))
     # Stretches that overlap or touch are one.
     own = Window.partitionBy("node", "doc_id").orderBy("start", "stop")
     far = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
