@@ -248,7 +248,7 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, dim: int, b
         near = pairs.where("id <> node").join(vectors.withColumnRenamed("id", "node"), "node")
         return near.join(queries.select("id", F.col("v").alias("qv")), "id").select("id", "node", "qv", "v").mapInArrow(measure, LINKS)
 
-    pool = cut(merged(compared(queries.select("id", F.explode("start").alias("node")).distinct()), beam))
+    pool = cut(merged(compared(queries.select("id", F.explode(F.col("start").cast("array<long>")).alias("node")).distinct()), beam))
     seen = queries.select("id", F.array().cast("array<long>").alias("done"))
     for _ in range(hops):
         state = pool.join(seen, "id", "left").withColumn("next", F.slice(F.array_except("ids", F.coalesce("done", F.array().cast("array<long>"))), 1, expand))
