@@ -21,8 +21,6 @@ from ngramforge.llm.common import column, slices, table, unused
 FAMILIES = {"germanic": ("de", "en", "nl", "sv", "da"), "romance": ("es", "fr", "it", "pt", "ro")}
 #: Labelled rows of each language that the machines are fitted to: bounds the sample at any input size.
 SAMPLE_ROWS = 300
-#: Length of the texts in that sample, in characters; prediction reads whole texts.
-SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 14
 #: A text is rejected where its letters are fewer than this share of what is no white space, or the family's score is below MARGIN.
 LETTERS = 0.3
@@ -76,14 +74,12 @@ def scores(texts: pa.Array, weights: np.ndarray, bias: np.ndarray) -> tuple[np.n
     return values, np.where(seen > 0, share, 0.0)
 
 
-def features(texts: list[str]) -> np.ndarray:
-    """(document, BUCKETS): counts by the root of their number."""
-    out = np.zeros((len(texts), BUCKETS), np.float32)
-    for i, text in enumerate(texts):
-        data = np.frombuffer(text.encode(), np.uint8)
-        if len(data) >= 3:
-            out[i] = np.bincount(trigrams(data), minlength=BUCKETS) / np.sqrt(len(data) - 2)
-    return out
+def features(text: str) -> np.ndarray:
+    """BUCKETS counts by the root of their number."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    if len(data) < 3:
+        return np.zeros(BUCKETS, np.float32)
+    return (np.bincount(trigrams(data), minlength=BUCKETS) / np.sqrt(len(data) - 2)).astype(np.float32)
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, float]:
@@ -102,11 +98,12 @@ def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 2
 class Model:
     """The machines of one set of languages."""
 
-    def __init__(self, labels: list[str], texts: list[str], families: dict[str, tuple[str, ...]] = FAMILIES):
+    def __init__(self, labels: list[str], x: np.ndarray, families: dict[str, tuple[str, ...]] = FAMILIES):
+        """x: the features of a labelled text in each row."""
         of = {lang: name for name, members in families.items() for lang in members}
         self.family_of = {lang: of.get(lang, lang) for lang in sorted(set(labels))}
         self.families = sorted(set(self.family_of.values()))
-        x, tag = features(texts), np.array(labels)
+        tag = np.array(labels)
         family = np.array([self.family_of[lang] for lang in labels])
         heads: list[tuple[np.ndarray, float]] = []
         if len(self.families) == 2:
@@ -150,17 +147,35 @@ class Model:
 
 
 def sample(docs: DataFrame, label: str, rows: int) -> DataFrame:
-    """At most that many labelled rows of each language, least hash of the text first; only the rows chosen are read in full."""
+    """(label, h, buckets, values): the features of at most that many labelled rows of each language, least hash of the text first.
+
+    Whole texts are read, by the executors; what they give has a bounded size whatever the texts'.
+    """
     known = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select(F.col(label).alias("label"), F.col("text").alias("text"), F.xxhash64("text").alias("h"))
     best = Window.partitionBy("label").orderBy("h")
-    edge = known.select("label", "h").withColumn("i", F.row_number().over(best)).where(F.col("i") <= rows).groupBy("label").agg(F.max("h").alias("top"))
-    return known.join(F.broadcast(edge), "label").where(F.col("h") <= F.col("top")).groupBy("label", "h").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    edge = known.select("label", "h").distinct().withColumn("i", F.row_number().over(best)).where(F.col("i") <= rows).groupBy("label").agg(F.max("h").alias("top"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            x = [features(t) for t in part.column("text").to_pylist()]
+            some = [np.flatnonzero(v).astype(np.int32) for v in x]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("label"), part.column("h"), pa.array([i.tobytes() for i in some], pa.binary()), pa.array([v[i].tobytes() for v, i in zip(x, some, strict=True)], pa.binary())],
+                names=["label", "h", "buckets", "values"],
+            )
+
+    # A row for each language, so it may be broadcast at any input size.
+    chosen = known.join(F.broadcast(edge), "label").where(F.col("h") <= F.col("top")).select("label", "h", "text")
+    return chosen.mapInArrow(run, "label string, h long, buckets binary, values binary").dropDuplicates(["label", "h"])
 
 
 def fit(docs: DataFrame, label: str = "lang", rows: int = SAMPLE_ROWS, families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
     """Machines fitted by the driver to the bounded sample; a language of no family is one by itself."""
-    got = sorted((r.label, r.h, r.text) for r in sample(docs, label, rows).collect())
-    return Model([g[0] for g in got], [g[2] for g in got], families)
+    got = sorted(sample(docs, label, rows).collect(), key=lambda r: (r.label, r.h))
+    x = np.zeros((len(got), BUCKETS), np.float32)
+    for row, r in zip(x, got, strict=True):
+        row[np.frombuffer(r.buckets, np.int32)] = np.frombuffer(r.values, np.float32)
+    return Model([r.label for r in got], x, families)
 
 
 NEW = ("_family", "_lang", "_margin", "_accepted")
