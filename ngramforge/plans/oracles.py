@@ -127,7 +127,7 @@ lost AS (SELECT g[1:u] AS g, count(*)::BIGINT AS x FROM (SELECT g, unnest(range(
 SELECT k, {NAME} AS ngram, c - coalesce(x, 0) AS count FROM cnt LEFT JOIN lost USING (g) WHERE k = 0 OR (c > 1 AND c > coalesce(x, 0))""",
     ),
     "merge_models": _counts(f"SELECT tokens, freq, n FROM ({DOCUMENTS}) UNION ALL SELECT tokens, freq, n FROM ({ITEMS})", ALL),
-    "bare_trie": f"""WITH s AS (SELECT tokens[1:6] AS t FROM ({EVENTS})), w AS (SELECT t[1:u] AS g FROM (SELECT t, unnest(range(0, len(t) + 1)) AS u FROM s))
+    "bare_trie": f"""WITH s AS (SELECT tokens AS t FROM ({TURNS})), w AS (SELECT t[1:u] AS g FROM (SELECT t, unnest(range(0, len(t) + 1)) AS u FROM s))
 SELECT len(g)::INT AS k, {NAME} AS ngram, count(*) AS count FROM w GROUP BY g""",
     "merge_counts": "SELECT name, sum(n)::BIGINT AS count FROM (SELECT event_type AS name, 2 * count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT role, count(*) FROM conversations GROUP BY 1) GROUP BY name",
     "fwd_entropy": _measures(DOCUMENTS, f"SELECT len(g)::INT AS k, {NAME} AS ngram, {_r('h')} AS entropy FROM h WHERE d = 'forward'"),

@@ -136,9 +136,9 @@ def merge_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def bare_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A store of n-grams without markers: the event types of each user, as one n-gram of six."""
-    first = corpora.event_sequences(_table(spark, sf_dir, "events")).select(F.slice("tokens", 1, 6).alias("ngram"))
-    return C.count_ngrams(first).select("k", _name(), "count")
+    """A store of n-grams without markers: the roles of each conversation, as one n-gram."""
+    roles = corpora.turns_of(_table(spark, sf_dir, "conversations")).select(F.col("tokens").alias("ngram"))
+    return C.count_ngrams(roles).select("k", _name(), "count")
 
 
 @_query
