@@ -1,4 +1,4 @@
-"""Segmentation of raw text: runs of one Unicode category, of which those of CJK characters are segmented."""
+"""Segmentation of raw text: sentences split at blanks, or runs of one Unicode category, of which those of CJK characters are segmented."""
 
 from __future__ import annotations
 
@@ -11,6 +11,16 @@ from ngramforge.functions import tags, tokens
 from ngramforge.operators.segment import BROADCAST_ROWS, segment
 
 
+#: How the tokens of a segmented sentence may be tagged.
+STYLES = {"bies": tags.format_bies, "token_in_word": tags.format_token_in_word, "token_in_word_bies": tags.format_token_in_word_bies}
+
+
+def tag_sentences(lines: DataFrame, scores: DataFrame, order: int, ids: Sequence[str], style: str = "bies", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """lines (ids, text) with tagged: sentences split at single blanks, segmented, and their tokens tagged; a null text gives null."""
+    rows = lines.withColumn("tokens", tokens.space_tokens(F.col("text")))
+    return segment(rows, scores, order, ids, broadcast_rows).withColumn("tagged", STYLES[style](F.col("words"))).drop("tokens", "words")
+
+
 def segment_text(lines: DataFrame, scores: DataFrame, order: int, ids: Sequence[str], bies: bool = True, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """lines (ids, text) with segmented: words or tagged characters joined by a blank.
 

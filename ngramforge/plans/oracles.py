@@ -65,9 +65,8 @@ ALL = f"SELECT k, {NAME} AS ngram, c AS count, bc AS back_count FROM cnt"
 MARK = f"(g[1] IN ({START}, {END}) OR g[len(g)] IN ({START}, {END}))"
 
 
-def _segmented(sentences: str, ids: str, corpus: str, select: str, flat: bool = True) -> str:
+def _segmented(sentences: str, ids: str, corpus: str, select: str) -> str:
     """Table seg (ids, words) of the best segmentation: a row for each position, then back along the lengths."""
-    key = ids.split(", ")
     return f"""WITH RECURSIVE {counted(corpus)}, {MEASURED},
 line AS (SELECT {ids}, tokens FROM ({sentences}) WHERE len(tokens) > 0),
 span AS (SELECT {ids}, i, j, tokens[i - j + 1 : i] AS g FROM (SELECT {ids}, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM line), range(1, {ORDER} + 1) AS lengths(j) WHERE j <= i),
@@ -79,7 +78,7 @@ back AS (SELECT {ids}, n AS pos, ks, []::INT[] AS ends FROM dp WHERE i = n
          UNION ALL
          SELECT {ids}, pos - ks[pos], ks, list_prepend(pos::INT, ends) FROM back WHERE pos > 0),
 seg AS (SELECT {ids}, list_transform(range(1, len(ends) + 1), lambda w: tokens[CASE WHEN w = 1 THEN 1 ELSE ends[w - 1] + 1 END : ends[w]]) AS words FROM back JOIN line USING ({ids}) WHERE pos = 0)
-{select.format(key=key)}"""
+{select}"""
 
 
 _SEGMENTED = "SELECT doc_id, line, array_to_string(list_transform(words, lambda w: array_to_string(w, '_')), ' ') AS segmented FROM seg"
@@ -166,4 +165,10 @@ SELECT {NAME} AS ngram, coalesce(c, 0) AS count, {_r('entropy')} AS entropy, {_r
     "segment": _segmented(DOCUMENTS, "doc_id, line", DOCUMENTS, _SEGMENTED),
     "segment_joined": _segmented(ITEMS, "doc_id, line", DOCUMENTS, _SEGMENTED),
     "segment_events": _segmented(EVENTS, "user_id", EVENTS, f"SELECT user_id, array_to_string(flatten(list_transform(words, lambda w: {_BIES})), ' ') AS tagged FROM seg"),
+    "tag_sentences": _segmented(
+        f"SELECT doc_id AS item_id, line, string_split(value, ' ') AS tokens FROM ({_ITEM_LINES})",
+        "item_id, line",
+        DOCUMENTS,
+        f"SELECT item_id, line, array_to_string(flatten(list_transform(words, lambda w: list_transform(range(1, len(w) + 1), lambda i: {_INSIDE} || '-' || {_LETTER}))), ' ') AS tagged FROM seg",
+    ),
 }

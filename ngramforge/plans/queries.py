@@ -352,3 +352,11 @@ def segment_preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = corpora.chunks_of(rows, "text")
     found = preprocess.segment_text(rows, NgramModel.fit(chunks, LENGTH).scores, ORDER, ["item_id"])
     return found.select("item_id", "segmented")
+
+
+@_query
+def tag_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of benchmark, split at blanks, with each token tagged by its word in the model of documents."""
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    tagged = preprocess.tag_sentences(rows, _model(spark, sf_dir).scores, ORDER, ["item_id", "line"], "token_in_word_bies")
+    return tagged.select("item_id", "line", "tagged")

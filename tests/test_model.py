@@ -22,6 +22,10 @@ def fit(spark, lines, n, freq=None):
     return NgramModel.fit(spark.createDataFrame(rows, "tokens array<string>, freq long"), n)
 
 
+def W(line):
+    return line.split()
+
+
 def near(a, b, tolerance=1e-4):
     return a is None and b is None or a is not None and b is not None and abs(a - b) <= tolerance
 
@@ -39,29 +43,29 @@ def test_cities(spark):
 def test_cats(spark):
     model = fit(spark, CATS, 3)
     assert [model.query_count(x.split()) for x in ("cat", "black cat", "very small black cat")] == [3, 2, 0]
-    assert near(model.query_autonomy(["black", "cat"]), 1.9537)
-    assert near(model.query_autonomy(["small", "black"]), -0.1965)
-    assert model.query_autonomy(["small", "black", "cat"]) is None
+    assert near(model.query_autonomy(W("black cat")), 1.9537)
+    assert near(model.query_autonomy(W("small black")), -0.1965)
+    assert model.query_autonomy(W("small black cat")) is None
 
 
 def test_weights(spark):
     model = fit(spark, ["le petit chien", "pour le petit", "le petit chat"], 5, {"pour le petit": 2})
-    assert model.query_count(["le", "petit"]) == 4 and model.query_count(["pour"]) == 2
-    assert near(model.query_entropy(["le", "petit"]), 1.75)
-    assert near(model.query_autonomy(["le", "petit"]), 1.89582)
+    assert model.query_count(W("le petit")) == 4 and model.query_count(["pour"]) == 2
+    assert near(model.query_entropy(W("le petit")), 1.75)
+    assert near(model.query_autonomy(W("le petit")), 1.89582)
 
 
 def test_adding_and_clearing(spark):
-    model = NgramModel(spark).add_sentence("un petit petit petit chat danse la samba".split())
+    model = NgramModel(spark).add_sentence(W("un petit petit petit chat danse la samba"))
     assert model.default_ngram_length == 5
-    model = model.add_sentence("it is very very very cool".split(), ngram_length=2)
+    model = model.add_sentence(ngram_length=2, sentence=W("it is very very very cool"))
     asked = ("un petit petit petit chat", "un petit petit petit chat danse", "very cool", "very very cool")
     assert [model.query_count(x.split()) for x in asked] == [1, 0, 1, 0]
     assert model.clear().query_count(["petit"]) == 0
     assert model.clear().query_autonomy(["petit"]) is None
     assert model.add_sentence([]) is model
-    again = model.clear().add_sentence(("le", "sac", "jaune")).add_sentence("le sac rouge".split(), freq=3)
-    assert again.query_count(["le"]) == 4 and again.query_count(["sac", "rouge"]) == 3
+    again = model.clear().add_sentence(("le", "sac", "jaune")).add_sentence(freq=3, sentence=W("le sac rouge"))
+    assert again.query_count(["le"]) == 4 and again.query_count(W("sac rouge")) == 3
     for bad in (0, -1):
         with pytest.raises(ValueError):
             model.add_sentence(["x"], freq=bad)
@@ -73,11 +77,11 @@ def test_adding_and_clearing(spark):
 
 def test_characters_of_a_string(spark):
     model = NgramModel(spark, 3).add_sentence("abab")
-    assert model.query_count("ab") == 2 and model.query_count(["b", "a"]) == 1
+    assert model.query_count("ab") == 2 and model.query_count(W("b a")) == 1
 
 
 def test_markers(spark):
-    model = NgramModel(spark).add_sentence("le petit chat".split())
+    model = NgramModel(spark).add_sentence(W("le petit chat"))
     assert model.query_count([START]) == 1 and model.query_count([END]) == 0
     assert model.query_count([]) == 4
     back = model.counts.where(F.col("ngram") == END).first()
@@ -96,14 +100,14 @@ def test_keys_keep_odd_tokens_apart(spark):
 
 
 def test_bare_store(spark):
-    rows = spark.createDataFrame([(["1", "2", "4"],), (["1", "2", "5"],), (["1", "2", "6"],), (["1", "3", "6"],)], "ngram array<string>")
+    rows = spark.createDataFrame([(W("1 2 4"),), (W("1 2 5"),), (W("1 2 6"),), (W("1 3 6"),)], "ngram array<string>")
     counts = C.count_ngrams(rows)
     found = {(r.k, r.ngram): r["count"] for r in counts.collect()}
-    assert found[2, keys.literal(["1", "2"])] == 3 and found[0, ""] == 4
+    assert found[2, keys.literal(W("1 2"))] == 3 and found[0, ""] == 4
     entropy = {r.ngram: r.entropy for r in S.entropy(counts, terminals=()).collect()}
-    assert near(entropy[keys.literal(["1", "2"])], math.log2(3)) and entropy[""] == 0.0
+    assert near(entropy[keys.literal(W("1 2"))], math.log2(3)) and entropy[""] == 0.0
     scored = {r.ngram: r.autonomy for r in S.scored(S.variation(S.entropy(counts, terminals=()))).collect()}
-    assert near(scored[keys.literal(["1", "2"])], 1.0)
+    assert near(scored[keys.literal(W("1 2"))], 1.0)
     two = C.count_ngrams(rows.limit(2))
     assert [(r["mean"], r.stdev) for r in S.norm_vector(S.variation(S.entropy(two, terminals=())), 3).orderBy("k").collect()] == [(0, 0), (1, 0), (0, 0)]
     assert C.max_depth(counts).first()[0] == 3
@@ -198,7 +202,7 @@ def test_saving(spark, tmp_path):
     path = str(tmp_path / "model")
     model.save(path)
     again = NgramModel.load(spark, path)
-    assert again.default_ngram_length == 3 and near(again.query_autonomy(["black", "cat"]), 1.9537)
-    grown = again.add_sentence(["black", "cat"])
+    assert again.default_ngram_length == 3 and near(again.query_autonomy(W("black cat")), 1.9537)
+    grown = again.add_sentence(W("black cat"))
     grown.save(path + "2")
-    assert NgramModel.load(spark, path + "2").query_count(["black", "cat"]) == 3
+    assert NgramModel.load(spark, path + "2").query_count(W("black cat")) == 3

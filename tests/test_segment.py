@@ -116,3 +116,12 @@ def test_raw_text(spark):
     assert plain[2] == "" and plain[3] is None and plain[4] == "only   latin"
     assert plain[1].replace(" ", "") == "我爱北京abc!" and "北京" in plain[1].split(" ")
     assert "北-B 京-E" in tagged[1] and tagged[1].endswith("a-B b-I c-E !-S")
+
+
+def test_tagged_sentences(spark):
+    rows = spark.createDataFrame([(1, "les hot dog"), (2, ""), (3, None)], "id int, text string")
+    got = {style: {r.id: r.tagged for r in preprocess.tag_sentences(rows, model(spark, DOGS, 3).scores, 2, ["id"], style).collect()} for style in preprocess.STYLES}
+    assert got["bies"] == {1: "les-S hot-B dog-E", 2: "-S", 3: None}
+    assert got["token_in_word"][1] == "les-_ hot-_dog dog-hot_" and got["token_in_word_bies"][1] == "les-_-S hot-_dog-B dog-hot_-E"
+    with pytest.warns(UserWarning):
+        check_order(5, 3)
