@@ -280,20 +280,22 @@ def duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def keep(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the rows that duplicates() names; all columns stay.
 
-    The keys of the rows that go are joined by content and doc_id, which moves documents once.  Of
-    rows equal in both the one whose other columns hash least stays.
+    The keys of the rows that go are joined by content and doc_id, which moves documents once, or
+    twice where rows repeat.  Of rows equal in both the one whose other columns hash least stays.
     """
     found = keepers(docs.select("doc_id", "text"), similarity).where("size > 1")
     stays = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("node") == F.col("keeper.node"))
     node, doc, copies, first = unused(docs, "_node", "_doc", "_copies", "_stays")
     marks = cut(found.select(F.col("node").alias(node), F.col("doc_id").alias(doc), F.col("copies").alias(copies), stays.alias(first)))
     here = (content(docs["text"]) == F.col(node)) & docs["doc_id"].eqNullSafe(F.col(doc)) & docs["text"].isNotNull()
-    joined = docs.join(marks, here, "left").where(f"coalesce({first}, true)")
-    names = [column(c) for c in docs.columns]
+    kept = docs.join(marks.where(f"NOT {first} OR {copies} > 1"), here, "left_anti")
+    repeated = marks.where(f"{first} AND {copies} > 1")
+    if repeated.isEmpty():
+        return kept
     plain = [column(c) for c, kind in docs.dtypes if "map<" not in kind and kind not in ("variant", "void")]
     tie = Window.partitionBy(node, doc).orderBy(F.xxhash64(*plain))
-    several = joined.where(f"{copies} > 1").withColumn(first, F.row_number().over(tie)).where(f"{first} = 1")
-    return joined.where(f"coalesce({copies}, 1) = 1").select(*names).unionByName(several.select(*names))
+    one = docs.join(repeated, here).withColumn(first, F.row_number().over(tie)).where(f"{first} = 1")
+    return kept.unionByName(one.select(*[column(c) for c in docs.columns]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -346,22 +347,25 @@ def keep(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     node, doc, starts, ends = unused(docs, "_node", "_doc", "_starts", "_ends")
     cuts = cut(found.groupBy(F.col("node").alias(node), F.col("doc_id").alias(doc)).agg(F.collect_list("start_word").alias(starts), F.collect_list("end_word").alias(ends)))
     here = (content(docs["text"]) == F.col(node)) & docs["doc_id"].eqNullSafe(F.col(doc)) & docs["text"].isNotNull()
-    joined = docs.join(cuts, here, "left")
     names = docs.columns
-    i = names.index("text")
+    i, n_chars, at = names.index("text"), names.index("n_chars") if "n_chars" in names else None, len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            at = len(names)
-            text = [without(*r) for r in zip(part.column(i).to_pylist(), part.column(at).to_pylist(), part.column(at + 1).to_pylist(), strict=True)]
-            columns = [pa.array(text, pa.string()) if k == i else part.column(k) for k in range(at)]
+            columns = list(part.columns[:at])
+            hit = part.column(at).is_valid()
+            if hit.true_count:
+                text = [without(*r) for r in zip(*(part.column(k).filter(hit).to_pylist() for k in (i, at, at + 1)), strict=True)]
+                left = np.ones(part.num_rows, bool)
+                left[hit.to_numpy(zero_copy_only=False)] = [_WORD.search(t) is not None for t in text]
+                columns[i] = pc.replace_with_mask(columns[i], hit, pa.array(text, columns[i].type))
+                if n_chars is not None:
+                    columns[n_chars] = pc.replace_with_mask(columns[n_chars], hit, pa.array([len(t) for t in text], pa.int64()).cast(columns[n_chars].type))
+                columns = [c.filter(pa.array(left)) for c in columns]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    hit = joined.where(F.col(starts).isNotNull()).select(*map(column, names), starts, ends)
-    left = hit.mapInArrow(run, docs.schema).where(F.col("text").rlike(r"\S"))
-    if "n_chars" in names:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.where(F.col(starts).isNull()).select(*map(column, names)).unionByName(left)
+    # All documents take this way: telling those without repeats apart would move them twice.
+    return docs.join(cuts, here, "left").select(*map(column, names), starts, ends).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
