@@ -4,10 +4,11 @@ A text is the sequence of its words, in lower case and without punctuation aroun
 (runs of K words) are labelled with how often each stood before, so that repeats differ.  Each of
 SAMPLES hash functions picks the ORDER labelled k-mers of least hash; their k-mers in text order
 are the sample.  Texts that agree in a sample are likely to be close in edit distance, not only in
-content.  The texts that share a sample are put in order of length and linked to the first and to
-the one before, so links grow with the texts, not with the square of a group; each link is then
-verified by a banded alignment of the words, and the groups are the connected components of the
-links that hold.
+content.  The texts that share a sample are linked to the one of them that shares most samples with
+others; each link is then verified by a banded alignment of the words.  What the components of the
+links that hold leave apart within a sample is linked in further rounds, at growing distances in
+the order of length, until each two texts of a sample are in one group, were aligned, or differ too
+much in length.  The groups are the connected components of all links that hold.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ ORDER = 3
 SAMPLES = 64
 #: Least similarity of two texts of a group: 1 - edit distance in words by the longer length.
 SIMILARITY = 0.75
+#: Growth, from round to round, of the distance in a sample's order within which texts are compared.
+STEP = 8
 #: Words of text hashed at a time.
 CHUNK_WORDS = 1 << 17
 #: Half the width of the first band that is tried.
@@ -192,8 +195,8 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return words(part.column("text"), normal)
 
 
-def links(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """Distinct links (a, b) between the content keys of texts that share a sample."""
+def buckets(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """(sample, node, n, at, held): the content keys of the texts that share a sample, numbered from 1 in order of length, and how many they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -207,13 +210,13 @@ def links(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     # Rows of one text have equal samples: the distinct rows are what counts.
     rows = docs.where("text IS NOT NULL").select(content().alias("node"), "text").mapInArrow(run, "sample long, node long, n int")
     together = Window.partitionBy("sample").orderBy("n", "node")
-    linked = rows.select("node", F.first("node").over(together).alias("star"), F.lag("node").over(together).alias("chain"))
-    linked = linked.where("chain IS NOT NULL").select("node", F.explode(F.array("star", "chain")).alias("other")).where("node <> other")
-    return linked.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    ranked = rows.select("*", F.dense_rank().over(together).alias("at"), F.lag("node").over(together).alias("before"))
+    once = ranked.where("before IS NULL OR before <> node").drop("before")
+    return once.withColumn("held", F.max("at").over(Window.partitionBy("sample"))).where("held > 1")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The links (a, b) whose texts are that similar by banded alignment."""
+def encoded(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(node, words): the word hashes of each text of shared."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -222,6 +225,13 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
             held = [short[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(held, pa.binary())], names=["node", "words"])
 
+    texts = docs.where("text IS NOT NULL").select(content().alias("node"), "text")
+    return texts.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(encode, "node long, words binary")
+
+
+def verified(held: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose texts are that similar by banded alignment; held: encoded()."""
+
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
@@ -234,18 +244,73 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
                 ok = pa.array(distances(own, limits) <= limits)
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(ok), part.column("b").filter(ok)], names=["a", "b"])
 
-    pairs = cut(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.where("text IS NOT NULL").select(content().alias("node"), "text")
-    held = texts.join(ends, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(encode, "node long, words binary")
     first = pairs.join(held.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
     both = first.join(held.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
     return both.select("a", "b", "wa", "wb").mapInArrow(align, "a long, b long")
 
 
+def _pairs(linked: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (a, b) of linked (node, n, other, m) whose lengths alone don't rule them out."""
+    near = F.abs(F.col("n") - F.col("m")) <= F.floor(F.lit(1 - similarity) * F.greatest("n", "m") + F.lit(1e-9))
+    return linked.where((F.col("node") != F.col("other")) & near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def stars(shared: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) of each text to the one of its sample that meets most texts over all samples, as the original of many copies does."""
+    weight = shared.groupBy("node").agg(F.sum("held").alias("weight"))
+    central = Window.partitionBy("sample").orderBy(F.desc("weight"), "node")
+    linked = shared.join(weight, "node").select("node", "n", F.first("node").over(central).alias("other"), F.first("n").over(central).alias("m"))
+    return _pairs(linked, similarity)
+
+
+def apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """shared with root, where a sample's texts are of several groups; most: the group that holds most of them."""
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("sample").agg(F.mode("root").alias("most"), (F.min("root") != F.max("root")).alias("mixed")).where("mixed")
+    return rooted.join(mixed.drop("mixed"), "sample")
+
+
+def across(mixed: DataFrame, low: int, high: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of texts of a sample and of different groups that stand low to high - 1 places from each other; mixed: apart().
+
+    One of two such texts is outside the sample's largest group, so only those look around.
+    """
+    up = f"CASE WHEN at + {low} <= held THEN sequence(at + {low}, least(at + {high - 1}, held)) END"
+    down = f"CASE WHEN at - {low} >= 1 THEN sequence(greatest(at - {high - 1}, 1), at - {low}) END"
+    few = mixed.where(f"root <> most AND held > {low}").select("sample", "node", "n", "root", "at", "held")
+    asked = few.withColumn("to", F.explode(F.expr(up))).unionByName(few.withColumn("to", F.explode(F.expr(down))))
+    there = mixed.select("sample", F.col("at").alias("to"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("theirs"))
+    return _pairs(asked.join(there, ["sample", "to"]).where("root <> theirs"), similarity)
+
+
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) of roots after further edges (a, b)."""
+    of = edges
+    for end in ("a", "b"):
+        of = of.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
+    over = components(cut(of.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()))
+    moved = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return cut(moved.unionByName(over.join(roots, "node", "left_anti")))
+
+
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root): the group of each content key that has a near duplicate."""
-    return components(cut(verified(docs, links(docs), similarity)))
+    """(node, root): the group of each content key that has a near duplicate among the texts it shares a sample with, or theirs."""
+    shared = cut(buckets(docs))
+    held = cut(encoded(docs, shared))
+    tried = cut(stars(shared, similarity))
+    roots = components(cut(verified(held, tried, similarity)))
+    low = 1
+    while True:
+        mixed = cut(apart(shared, roots))
+        most = mixed.agg(F.max("held")).first()[0] or 0
+        if most <= low:
+            return roots
+        pairs = cut(across(mixed, low, low * STEP, similarity).join(tried, ["a", "b"], "left_anti"))
+        edges = cut(verified(held, pairs, similarity))
+        if not edges.isEmpty():
+            roots = joined(roots, edges)
+        tried = tried.unionByName(pairs)
+        low *= STEP
 
 
 def keepers(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -149,3 +149,34 @@ def test_repeated_rows_and_ties(spark):
     assert kept == sorted(map(tuple, minhash.keep(docs.repartition(5, "source")).collect()))
     nobody = spark.createDataFrame([(None, "a b c d", "x"), (None, "a b c d", "y")], docs.schema)
     assert minhash.keep(nobody).count() == 1
+
+
+def edited(rng, body, changes):
+    copy = list(body)
+    for at in rng.sample(range(len(body)), changes):
+        copy[at] = f"z{rng.randrange(10**9)}"
+    return copy
+
+
+def test_copies_of_one_original_that_differ_from_each_other(spark):
+    rng = random.Random(12)
+    body = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    rows = [(i, " ".join(edited(rng, body, rng.randint(30, 40)) if i else body)) for i in range(1001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    own = np.array([[hash(w) for w in t.split()] for _, t in rows])
+    assert np.mean([(own[i] != own[j]).mean() > 0.25 for i in range(1, 40) for j in range(i)]) > 0.9
+    # What no sample joins to the group can't be found; each two texts that share one are.
+    s = minhash.sketches(*words(pa.array([t for _, t in rows]), normal))
+    similar = {(i, j) for i in range(1001) for j in np.flatnonzero((own != own[i]).sum(axis=1) <= 50).tolist() if j > i and (s[i] == s[j]).any()}
+    parent = list(range(1001))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in similar:
+        parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i for i in range(1001) if find(i) != i}
+    assert len(want) > 950
+    assert {r.doc_id for r in minhash.duplicates(docs).collect()} == want
