@@ -25,7 +25,8 @@ from ngramforge.llm.components import components
 from ngramforge.llm.fingerprint import normal
 
 K = 3
-ORDER = 3
+#: At a similarity of SIMILARITY by scattered words about 27 % of k-mers are common, and samples agree at about that share to the power of ORDER.
+ORDER = 2
 SAMPLES = 64
 #: Least similarity of two texts of a group: 1 - edit distance in words by the longer length.
 SIMILARITY = 0.75

@@ -180,3 +180,14 @@ def test_copies_of_one_original_that_differ_from_each_other(spark):
     want = {i for i in range(1001) if find(i) != i}
     assert len(want) > 950
     assert {r.doc_id for r in minhash.duplicates(docs).collect()} == want
+
+
+@pytest.mark.parametrize("length", [60, 200, 600])
+def test_recall_at_the_threshold(length):
+    rng = random.Random(length)
+    texts = []
+    for _ in range(300):
+        body = [f"w{rng.randrange(3000)}" for _ in range(length)]
+        texts += [" ".join(body), " ".join(edited(rng, body, length // 4))]
+    s = minhash.sketches(*words(pa.array(texts), normal))
+    assert (s[::2] == s[1::2]).any(axis=1).mean() >= 0.9
