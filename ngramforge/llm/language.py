@@ -12,6 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,9 @@ BUCKETS = 1 << 14
 #: A text is rejected where its letters are fewer than this share of what is no white space, or the family's score is below MARGIN.
 LETTERS = 0.3
 MARGIN = 0.002
+#: A text's margin is 0 where fewer of its trigrams are known from fitting than SLACK times what all but this share of the sample's texts have in common with the others.
+STRANGE = 0.01
+SLACK = 0.9
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -105,6 +109,10 @@ class Model:
         self.families = sorted(set(self.family_of.values()))
         tag = np.array(labels)
         family = np.array([self.family_of[lang] for lang in labels])
+        texts = (x > 0).sum(axis=0)
+        self.seen = (texts > 0).astype(np.float32)
+        common = (x @ (texts > 1).astype(np.float32)) / np.maximum(x.sum(axis=1), 1e-9)
+        self.least = SLACK * float(np.quantile(common, STRANGE)) if len(x) > 1 else 0.0
         heads: list[tuple[np.ndarray, float]] = []
         if len(self.families) == 2:
             heads.append(fit_svm(x, np.where(family == self.families[0], 1, -1).astype(np.float32)))
@@ -118,10 +126,18 @@ class Model:
         self.weights = np.stack([w for w, _ in heads], axis=1) if heads else np.zeros((BUCKETS, 0), np.float32)
         self.bias = np.array([b for _, b in heads])
 
+    def known(self, seen: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether a text of n trigrams, of them seen in fitting, is of the languages fitted; three deviations below least are left to chance, as each byte stands in three trigrams."""
+        n = np.maximum(n, 1)
+        return seen / n >= self.least - 3 * np.sqrt(3 * self.least * (1 - self.least) / n)
+
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Family, language, margin and letters' share.  The margin is the least distance from a decision that was made; ties of votes go to the higher sum of distances, then to the first name."""
-        values, letters = scores(texts, self.weights, self.bias)
+        """Family, language, margin and letters' share.  The margin is the least distance from a decision that was made, and 0 for a text that is strange to all languages fitted; ties of votes go to the higher sum of distances, then to the first name."""
+        values, letters = scores(texts, np.column_stack((self.weights, self.seen)), np.append(self.bias, 0.0))
         n = len(letters)
+        long = np.maximum(pc.binary_length(texts.cast(pa.large_binary())).to_numpy(zero_copy_only=False) - 2, 0)
+        known = self.known(values[:, -1] * np.sqrt(np.maximum(long, 1)), long)
+        values = values[:, :-1]
         if not self.families:
             return np.full(n, None, object), np.full(n, None, object), np.zeros(n), letters
         head = values[:, : self.n_heads]
@@ -143,7 +159,7 @@ class Model:
         for (a, b), v in zip(self.pairs, values[:, self.n_heads :].T, strict=True):
             mine = (lang == names.index(a)) | (lang == names.index(b))
             sure = np.where(mine, np.minimum(sure, np.abs(v)), sure)
-        return np.array(self.families, object)[pick], np.array(names, object)[lang], np.where(np.isfinite(sure), sure, 1.0), letters
+        return np.array(self.families, object)[pick], np.array(names, object)[lang], np.where(known, np.where(np.isfinite(sure), sure, 1.0), 0.0), letters
 
 
 def sample(docs: DataFrame, label: str, rows: int) -> DataFrame:
@@ -184,7 +200,8 @@ NEW = ("_family", "_lang", "_margin", "_accepted")
 def identify(docs: DataFrame, model: Model, letters: float = LETTERS, margin: float = MARGIN, names: Sequence[str] = NEW) -> DataFrame:
     """docs with family, language, margin and acceptance under those names; nothing is shuffled.
 
-    A null or empty text, one with few letters and one without a clear family is not accepted; its
+    A null or empty text, one with few letters, one of trigrams strange to all languages fitted and
+    one without a clear family is not accepted; its
     language is null where there is no letter.  Other rows are each judged by themselves, so
     repeated rows and ties get equal answers; all columns of docs stay, null or not; columns of
     docs called like the four new ones are replaced.

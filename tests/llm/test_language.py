@@ -76,3 +76,19 @@ def test_junk_goes_and_prose_stays(documents):
     junk = documents.limit(1).select(F.lit(10**9).alias("doc_id"), F.lit("%% 99 -- 12 == 77 ;; 4711 ## a 11").alias("text"), "lang", "source", "n_chars")
     kept = language.keep(documents.unionByName(junk))
     assert kept.where("doc_id = 1000000000").count() == 0
+
+
+def test_languages_never_fitted_and_random_text_go(documents):
+    rng = random.Random(3)
+    russian = [" ".join("".join(rng.choice("абвгдежзийклмнопрстуфхцчшщыьэюя") for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(50)]
+    chinese = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(100)) for _ in range(50)]
+    letters = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(50)]
+    coded = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(300)) for _ in range(50)]
+    rows = documents.where("text rlike '[a-zA-Z]{2}'")
+    model = language.fit(rows.where("doc_id % 2 = 0"))
+    for junk in (russian, chinese, letters, coded):
+        assert (model.predict(pa.array(junk))[2] < language.MARGIN).all()
+    held = [r.text for r in rows.where("doc_id % 2 = 1").collect()]
+    short = [" ".join(t.split()[:5]) for t in held if len(t.split()) >= 5]
+    for clean in (held, short):
+        assert np.mean(model.predict(pa.array(clean))[2] >= language.MARGIN) > 0.97
