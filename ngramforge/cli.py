@@ -57,14 +57,14 @@ def train(lines: DataFrame, length: int, prune: int = 0, size: int = 0) -> tuple
 def segment_lines(lines: DataFrame, scores: DataFrame, order: int, bies: bool = False) -> DataFrame:
     """(line, value): each line that is not blank, segmented."""
     rows = lines.select(F.col("value").alias("text"), F.monotonically_increasing_id().alias("line")).where(~tokens.is_blank(F.col("value")))
-    return preprocess.segment_text(rows, scores, order, ["line"], bies).select("line", F.col("segmented").alias("value"))
+    return preprocess.segment_text(rows, scores, order, bies).select("line", F.col("segmented").alias("value"))
 
 
 def nbest_of(lines: DataFrame, length: int, several: int) -> DataFrame:
     """(line, rank, value): the best segmentations of each line into characters, by the model of all lines."""
     rows = lines.select(F.regexp_replace(tokens.strip(F.col("value")), " ", "").alias("text"), F.monotonically_increasing_id().alias("line"))
     rows = rows.select("line", tokens.characters(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
-    found = segment_nbest(rows, NgramModel.fit(rows, length).scores, check_order(None, length), ["line"], several)
+    found = segment_nbest(rows, NgramModel.fit(rows, length).scores, check_order(None, length), several)
     return models.nbest_lines(found, "line")
 
 

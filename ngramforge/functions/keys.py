@@ -17,6 +17,8 @@ END = "\ue02d"
 MARKERS = (START, END)
 SEP = "\x1f"
 _ESC = "\x1e"
+#: Stands for a null token where keys are compared; no token is escaped to it.
+NULL = _ESC + "2"
 
 
 def escape(token: Column) -> Column:

@@ -12,14 +12,22 @@ from ngramforge.operators import counts as C
 from ngramforge.operators import lexicon, preprocess
 from ngramforge.operators import segment as G
 from ngramforge.operators import stats as S
-from ngramforge.plans.model import NgramModel
+from ngramforge.plans.model import DEFAULT_LENGTH, NgramModel
 from ngramforge.sources import corpora, models
+from ngramforge.sources.folders import shared_folder
+from ngramforge.streaming import training
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Length of the n-grams of the queries' models, and the longest word that follows from it.
 LENGTH = 3
 ORDER = LENGTH - 1
+#: The default length, for the queries with "long" in their names.
+LONG = DEFAULT_LENGTH
+#: Segmentations of each sentence.
+NBEST = 3
+#: Letters that stand for Chinese characters where raw text is wanted.
+CJK_FROM, CJK_TO = "aeinorst", "我爱北京很大好他"
 #: Rows of the ranked lexicon, which is a report of the best.
 TOP = 100
 DIGITS = 6
@@ -44,8 +52,8 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.lines_of(_table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
 
 
-def _model(spark: SparkSession, sf_dir: str) -> NgramModel:
-    return NgramModel.fit(_lines(spark, sf_dir), LENGTH)
+def _model(spark: SparkSession, sf_dir: str, length: int = LENGTH) -> NgramModel:
+    return NgramModel.fit(_lines(spark, sf_dir), length)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> NgramModel:
@@ -81,6 +89,11 @@ def ngram_length_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.count(rows, LENGTH).select("k", _name(), "count", "back_count")
 
 
+@_query
+def ngram_count_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model(spark, sf_dir, LONG).counts.select("k", _name(), "count", "back_count")
+
+
 @_query
 def root_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model(spark, sf_dir).counts.where("k = 0").select("count", "back_count")
@@ -128,6 +141,46 @@ def prune_hapax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.prune_hapax(_model(spark, sf_dir).counts).select("k", _name(), "count")
 
 
+@_query
+def prune_then_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that is pruned between two batches of sentences."""
+    return _model(spark, sf_dir).prune(1).add(_items(spark, sf_dir)).counts.select("k", _name(), "count", "back_count")
+
+
+@_query
+def model_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that is saved, opened again and goes on learning."""
+    folder = shared_folder(spark, "model")
+    NgramModel.fit(_items(spark, sf_dir), LENGTH).save(folder)
+    return NgramModel.load(spark, folder).add(_lines(spark, sf_dir)).counts.select("k", _name(), "count", "back_count")
+
+
+def _item_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of benchmark as a stream."""
+    schema = _table(spark, sf_dir, "benchmark").schema
+    # A pattern, as a stream's path without one is to be a folder.
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/benchmark*.parquet")
+    return corpora.lines_of(rows.withColumnRenamed("item_id", "doc_id"))
+
+
+@_query
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts of a stream, as of its end."""
+    folder = shared_folder(spark, "counts")
+    step = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/table")
+    running = training.counts(_item_stream(spark, sf_dir), LENGTH).writeStream.outputMode("complete").foreachBatch(step)
+    running.option("checkpointLocation", f"{folder}/mark").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("k", _name(), "count", "back_count")
+
+
+@_query
+def stream_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that grows with a stream and is pruned after each batch; the table is one batch."""
+    folder = shared_folder(spark, "training")
+    training.train_batches(_item_stream(spark, sf_dir), f"{folder}/model", f"{folder}/mark", LENGTH, prune=1).awaitTermination()
+    return training.latest(spark, f"{folder}/model", LENGTH).counts.select("k", _name(), "count", "back_count")
+
+
 @_query
 def merge_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = NgramModel.fit(_items(spark, sf_dir), LENGTH)
@@ -182,6 +235,11 @@ def autonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model(spark, sf_dir).scores.select("k", _name(), _rounded("autonomy"))
 
 
+@_query
+def autonomy_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model(spark, sf_dir, LONG).scores.select("k", _name(), _rounded("entropy"), _rounded("autonomy"))
+
+
 @_query
 def autonomy_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model(spark, sf_dir).scores.select("k", _name(), _rounded("centred"))
@@ -234,6 +292,13 @@ def lexicon_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy(F.desc("autonomy"), "ngram").limit(TOP)
 
 
+@_query
+def lexicon_topk_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As lexicon_topk, with the default length."""
+    found = _model(spark, sf_dir, LONG).lexicon().select(F.array_join("ngram", " ").alias("ngram"), _rounded("autonomy"), "count")
+    return found.orderBy(F.desc("autonomy"), "ngram").limit(TOP)
+
+
 @_query
 def lexicon_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.formatted(_events(spark, sf_dir).lexicon())
@@ -246,6 +311,19 @@ def model_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.parse_tsv(lines, " ").select("k", _name(), _rounded("autonomy"), "count")
 
 
+def _chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of benchmark with some letters as Chinese characters."""
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.translate("text", CJK_FROM, CJK_TO).alias("text"))
+
+
+@_query
+def model_csv_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon of raw text, as lines without a delimiter between characters and read from those."""
+    model = NgramModel.fit(corpora.chunks_of(_chinese(spark, sf_dir), "text"), LENGTH)
+    lines = models.format_tsv(model.lexicon(model.vocabulary(markers=False)))
+    return models.parse_tsv(lines).select("k", _name(), _rounded("autonomy"), "count")
+
+
 # Tokens
 
 
@@ -319,38 +397,69 @@ def add_bies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of documents by the model of documents."""
     lines = _lines(spark, sf_dir)
-    cut = G.segment(lines, NgramModel.fit(lines, LENGTH).scores, ORDER, ["doc_id", "line"])
+    cut = G.segment(lines, NgramModel.fit(lines, LENGTH).scores, ORDER)
     return cut.select("doc_id", "line", F.array_join(F.transform("words", lambda w: F.array_join(w, "_")), " ").alias("segmented"))
 
 
 @_query
 def segment_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of benchmark by the model of documents, with no table broadcast."""
-    cut = G.segment(_items(spark, sf_dir), _model(spark, sf_dir).scores, ORDER, ["doc_id", "line"], broadcast_rows=0)
+    """The lines of benchmark by the model of documents."""
+    cut = G.segment(_items(spark, sf_dir), _model(spark, sf_dir).scores, ORDER)
     return cut.select("doc_id", "line", F.array_join(F.transform("words", lambda w: F.array_join(w, "_")), " ").alias("segmented"))
 
 
 @_query
 def segment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpora.event_sequences(_table(spark, sf_dir, "events"))
-    cut = G.segment(rows, NgramModel.fit(rows, LENGTH).scores, ORDER, ["user_id"])
+    cut = G.segment(rows, NgramModel.fit(rows, LENGTH).scores, ORDER)
     return cut.select("user_id", tags.format_bies(F.col("words")).alias("tagged"))
 
 
+@_query
+def segment_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of benchmark by the model of documents at the default length, in words of up to four tokens."""
+    cut = G.segment(_items(spark, sf_dir), _model(spark, sf_dir, LONG).scores, G.check_order(None, LONG))
+    return cut.select("doc_id", "line", F.array_join(F.transform("words", lambda w: F.array_join(w, "_")), " ").alias("segmented"))
+
+
+@_query
+def bies_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = G.segment(_items(spark, sf_dir), _model(spark, sf_dir, LONG).scores, G.check_order(None, LONG))
+    return cut.select("doc_id", "line", tags.format_bies(F.col("words")).alias("tagged"))
+
+
+def _several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.event_sequences(_table(spark, sf_dir, "events"))
+    return G.segment_nbest(rows, NgramModel.fit(rows, LENGTH).scores, ORDER, NBEST)
+
+
 @_query
 def segment_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best segmentations of each conversation's roles."""
-    rows = corpora.turns_of(_table(spark, sf_dir, "conversations"))
-    found = G.segment_nbest(rows, NgramModel.fit(rows, LENGTH).scores, ORDER, ["conv_id"])
-    return found.select("conv_id", F.posexplode("nbest").alias("rank", "s")).select("conv_id", "rank", (F.round("s.score", DIGITS) + 0.0).alias("score"), F.array_join(F.transform("s.words", lambda w: F.array_join(w, "_")), " ").alias("segmented"))
+    """The best segmentations of each user's events."""
+    found = _several(spark, sf_dir).select("user_id", F.posexplode("nbest").alias("rank", "s"))
+    return found.select("user_id", "rank", (F.round("s.score", DIGITS) + 0.0).alias("score"), F.array_join(F.transform("s.words", lambda w: F.array_join(w, "_")), " ").alias("segmented"))
+
+
+@_query
+def nbest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.nbest_lines(_several(spark, sf_dir), "user_id")
+
+
+@_query
+def segment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of benchmark as a stream, by their own model."""
+    folder = shared_folder(spark, "segments")
+    scores = NgramModel.fit(_items(spark, sf_dir), LENGTH).scores
+    training.segment_stream(_item_stream(spark, sf_dir), scores, ORDER, f"{folder}/table", f"{folder}/mark").awaitTermination()
+    cut = spark.read.parquet(f"{folder}/table")
+    return cut.select("doc_id", "line", F.array_join(F.transform("words", lambda w: F.array_join(w, "_")), " ").alias("segmented"))
 
 
 @_query
 def segment_preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw text: runs of CJK characters are segmented, others stay; here those of the cased letters of conversations stand for themselves."""
-    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("中文中文 "), F.col("text")).alias("text"))
-    chunks = corpora.chunks_of(rows, "text")
-    found = preprocess.segment_text(rows, NgramModel.fit(chunks, LENGTH).scores, ORDER, ["item_id"])
+    """Raw text: runs of Chinese characters are segmented, others stay."""
+    rows = _chinese(spark, sf_dir)
+    found = preprocess.segment_text(rows, NgramModel.fit(corpora.chunks_of(rows, "text"), LENGTH).scores, ORDER)
     return found.select("item_id", "segmented")
 
 
@@ -358,5 +467,5 @@ def segment_preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tag_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of benchmark, split at blanks, with each token tagged by its word in the model of documents."""
     rows = _table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    tagged = preprocess.tag_sentences(rows, _model(spark, sf_dir).scores, ORDER, ["item_id", "line"], "token_in_word_bies")
+    tagged = preprocess.tag_sentences(rows, _model(spark, sf_dir).scores, ORDER, "token_in_word_bies")
     return tagged.select("item_id", "line", "tagged")

@@ -7,7 +7,6 @@ with a version for each micro-batch (train_batches), which may also be pruned be
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -26,6 +25,12 @@ def counts(sentences: DataFrame, length: int, longest: int | None = None) -> Dat
     return C.summed(every)
 
 
+def _done(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to the end."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Versions in the folder that were written to the end."""
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -34,8 +39,7 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     if not files.exists(folder):
         return []
     found = (_VERSION.search(s.getPath().toString()) for s in files.listStatus(folder))
-    done = lambda v: files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS"))
-    return sorted(v for v in (int(m[1]) for m in found if m) if done(v))
+    return sorted(v for v in (int(m[1]) for m in found if m) if _done(spark, f"{path}/version={v}"))
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -73,10 +77,18 @@ def latest(spark: SparkSession, path: str, length: int) -> NgramModel:
     return NgramModel(spark, length, spark.read.parquet(f"{path}/version={done[-1]}").select(*C.COUNTS)) if done else NgramModel(spark, length)
 
 
-def segment_stream(sentences: DataFrame, scores: DataFrame, order: int, ids: Sequence[str], path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Segments each micro-batch by a fixed table of scores, whatever its size, to Parquet by batch; a batch that is repeated overwrites itself."""
+def segment_stream(sentences: DataFrame, scores: DataFrame, order: int, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Segments each micro-batch by a fixed table of scores, to Parquet by batch; a batch that is repeated overwrites itself.
+
+    The scores are written beside the checkpoint when the stream first starts and read from there
+    by each batch, and by the stream when it goes on later.
+    """
+    spark = scores.sparkSession
+    fixed = f"{checkpoint.rstrip('/')}.scores"
+    if not _done(spark, fixed):
+        scores.where("autonomy IS NOT NULL").select("k", "ngram", "autonomy").write.mode("overwrite").parquet(fixed)
 
     def step(batch: DataFrame, number: int) -> None:
-        segment(batch, scores, order, ids).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        segment(batch, spark.read.parquet(fixed), order).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return sentences.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -18,16 +18,15 @@ def model(spark, lines, n):
     return NgramModel.fit(spark.createDataFrame([(x.split(),) for x in lines], "tokens array<string>"), n)
 
 
-def cut(spark, scores, order, lines, broadcast=1000):
+def cut(spark, scores, order, lines):
     rows = spark.createDataFrame([(i, x.split()) for i, x in enumerate(lines)], "id int, tokens array<string>")
-    return [["_".join(w) for w in r.words] for r in segment(rows, scores, order, ["id"], broadcast).orderBy("id").collect()]
+    return [["_".join(w) for w in r.words] for r in segment(rows, scores, order).orderBy("id").collect()]
 
 
-@pytest.mark.parametrize("broadcast", [0, 1000])
-def test_dogs(spark, broadcast):
+def test_dogs(spark):
     lines = ["je deteste les hot dog", "un chat noir et blanc", ""]
-    assert cut(spark, model(spark, DOGS, 3).scores, 2, lines, broadcast) == ["je deteste les hot_dog".split(), lines[1].split(), []]
-    assert cut(spark, model(spark, DOGS, 2).scores, check_order(None, 2), lines[:1], broadcast) == [lines[0].split()]
+    assert cut(spark, model(spark, DOGS, 3).scores, 2, lines) == ["je deteste les hot_dog".split(), lines[1].split(), []]
+    assert cut(spark, model(spark, DOGS, 2).scores, check_order(None, 2), lines[:1]) == [lines[0].split()]
 
 
 def test_new_york(spark):
@@ -64,22 +63,41 @@ def test_orders():
             check_order(*bad)
 
 
-@pytest.mark.parametrize("broadcast", [0, 1000])
-def test_several(spark, broadcast):
+def test_several(spark):
     rows = spark.createDataFrame([(1, "les hot dog".split()), (2, []), (3, None)], "id int, tokens array<string>")
-    got = {r.id: r.nbest for r in segment_nbest(rows, model(spark, DOGS, 3).scores, 2, ["id"], 3, broadcast).collect()}
+    got = {r.id: r.nbest for r in segment_nbest(rows, model(spark, DOGS, 3).scores, 2, 3).collect()}
     assert got[3] is None and len(got[1]) == 3
     assert [s.score for s in got[1]] == sorted(s.score for s in got[1])
     with pytest.raises(ValueError):
-        segment_nbest(rows, model(spark, DOGS, 3).scores, 2, ["id"], 0)
+        segment_nbest(rows, model(spark, DOGS, 3).scores, 2, 0)
 
 
 def test_extra_columns_and_long_rows(spark):
     rows = spark.createDataFrame([(1, ["a", "b"] * 3000, "x")], "id int, tokens array<string>, words string")
-    out = segment(rows.drop("words"), model(spark, ["a b", "b a"], 3).scores, 2, ["id"]).first()
+    out = segment(rows.drop("words"), model(spark, ["a b", "b a"], 3).scores, 2).first()
     assert sum(map(len, out.words)) == 6000
 
 
+def test_rows_that_no_id_tells_apart(spark):
+    scores = model(spark, DOGS, 3).scores
+    schema = "id int, tokens array<string>, _t string, _spans string, _key string, text string"
+    rows = [(1, "les hot dog"), (1, "hot dog les"), (None, "les hot dog"), (None, None), (2, ""), (3, "les ? hot dog")]
+    table = spark.createDataFrame([(i, None if x is None else [None if w == "?" else w for w in x.split()], "a", "b", "c", x) for i, x in rows], schema)
+    out = segment(table, scores, 2)
+    assert out.columns == [*table.columns, "words"]
+    got = sorted((str(r.id), str(r.text), str(r.words and [" ".join(map(str, w)) for w in r.words])) for r in out.collect())
+    assert got == sorted([("1", "les hot dog", "['les', 'hot dog']"), ("1", "hot dog les", "['hot dog', 'les']"), ("None", "les hot dog", "['les', 'hot dog']"), ("None", "None", "None"), ("2", "", "[]"), ("3", "les ? hot dog", "['les', 'None', 'hot dog']")])
+    assert {(r._t, r._spans, r._key) for r in out.collect()} == {("a", "b", "c")}
+    many = segment_nbest(table, scores, 2)
+    assert sorted(str(r.id) for r in many.collect()) == sorted(str(i) for i, _ in rows)
+    cjk = model(spark, ["我 爱 北 京", "北 京 很 大"], 3).scores
+    lines = spark.createDataFrame([(1, "我爱北京", "x"), (1, "北京a", "x"), (None, "北京a", "x"), (None, None, "x")], "id int, text string, key string")
+    got = sorted((str(r.id), str(r.text), str(r.segmented), r.key) for r in preprocess.segment_text(lines, cjk, 2, bies=False).collect())
+    assert [g[2].replace(" ", "") for g in got] == ["北京a", "我爱北京", "None", "北京a"] and {g[3] for g in got} == {"x"}
+    tagged = preprocess.tag_sentences(lines.withColumnRenamed("key", "tokens").withColumn("words", F.lit(1)), cjk, 2)
+    assert tagged.columns == ["id", "text", "tokens", "words", "tagged"] and tagged.count() == 4
+
+
 def test_tags(spark):
     rows = spark.createDataFrame([([["hot", "dog", "s"], ["a"], ["b", "c"]],)], "w array<array<string>>")
     got = rows.select(tags.format_bies("w"), tags.format_token_in_word("w"), tags.format_token_in_word_bies(F.col("w")), tags.character_bies(F.lit("很好吃")), tags.character_bies(F.lit(""))).first()
@@ -111,8 +129,8 @@ def test_raw_text(spark):
     corpus = ["我爱北京", "北京很大", "他爱北京", "北京好"]
     scores = NgramModel.fit(spark.createDataFrame([(list(x),) for x in corpus], "tokens array<string>"), 3).scores
     rows = spark.createDataFrame([(1, "我爱北京 abc!"), (2, ""), (3, None), (4, "only latin")], "id int, text string")
-    plain = {r.id: r.segmented for r in preprocess.segment_text(rows, scores, 2, ["id"], bies=False).collect()}
-    tagged = {r.id: r.segmented for r in preprocess.segment_text(rows, scores, 2, ["id"]).collect()}
+    plain = {r.id: r.segmented for r in preprocess.segment_text(rows, scores, 2, bies=False).collect()}
+    tagged = {r.id: r.segmented for r in preprocess.segment_text(rows, scores, 2).collect()}
     assert plain[2] == "" and plain[3] is None and plain[4] == "only   latin"
     assert plain[1].replace(" ", "") == "我爱北京abc!" and "北京" in plain[1].split(" ")
     assert "北-B 京-E" in tagged[1] and tagged[1].endswith("a-B b-I c-E !-S")
@@ -120,7 +138,7 @@ def test_raw_text(spark):
 
 def test_tagged_sentences(spark):
     rows = spark.createDataFrame([(1, "les hot dog"), (2, ""), (3, None)], "id int, text string")
-    got = {style: {r.id: r.tagged for r in preprocess.tag_sentences(rows, model(spark, DOGS, 3).scores, 2, ["id"], style).collect()} for style in preprocess.STYLES}
+    got = {style: {r.id: r.tagged for r in preprocess.tag_sentences(rows, model(spark, DOGS, 3).scores, 2, style).collect()} for style in preprocess.STYLES}
     assert got["bies"] == {1: "les-S hot-B dog-E", 2: "-S", 3: None}
     assert got["token_in_word"][1] == "les-_ hot-_dog dog-hot_" and got["token_in_word_bies"][1] == "les-_-S hot-_dog-B dog-hot_-E"
     with pytest.warns(UserWarning):

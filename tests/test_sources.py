@@ -102,7 +102,7 @@ def test_pruned_between_batches_and_repeated(spark, tmp_path):
 
 def test_segmented_stream(spark, tmp_path):
     scores = NgramModel.fit(sentences(spark), 3).scores
-    training.segment_stream(stream(spark, str(tmp_path / "in")), scores, 2, ["id"], str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination(120)
+    training.segment_stream(stream(spark, str(tmp_path / "in")), scores, 2, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination(120)
     got = {r.id: [t for w in r.words for t in w] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {i: x.split() for i, x in enumerate(SENTENCES)}
 
