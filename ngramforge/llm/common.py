@@ -23,17 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where none is set, as in tests."""
+    """The shared folder that the session names; a temporary one only where none is set and driver and executors are one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
-        return named
     at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at
+    if at:
+        return named or at
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+    spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -60,10 +61,15 @@ def unused(docs: DataFrame, *names: str) -> list[str]:
 
 
 def content(text: Column | str = "text") -> Column:
-    """64-bit key of a text.  Two texts of n share it with probability n * n / 2**65."""
+    """64-bit key of a text.  Two texts of n share it with probability n * n / 2**65; where that matters second() decides."""
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)
 
 
+def second(text: Column | str = "text") -> Column:
+    """Another 64-bit key of a text, independent of content()."""
+    return F.xxhash64(F.lit(7), F.col(text) if isinstance(text, str) else text, F.lit(7))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about limit bytes of that string column, one row at least."""
     for batch in batches:
@@ -127,3 +133,37 @@ def ragged_take(offsets: np.ndarray, values: np.ndarray, which: np.ndarray) -> t
 
 def list_array(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[pa.Table]:
+    """Rows in order, cut between groups only; with most, larger groups are cut after that many rows."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < 8192:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks()
+        last = np.zeros(rows, bool)
+        for key in keys:
+            x = whole.column(key).to_numpy()
+            last |= x != x[-1]
+        end = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+        if most and not end:
+            end = rows - rows % most
+        if end:
+            yield whole.slice(0, end)
+            whole = whole.slice(end)
+        held, rows = whole.to_batches(), whole.num_rows
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def group_bounds(*keys: np.ndarray) -> np.ndarray:
+    """Where the runs of rows with equal keys begin, and the end of the last."""
+    new = np.zeros(len(keys[0]) + 1, bool)
+    new[[0, -1]] = True
+    for x in keys:
+        new[1:-1] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)

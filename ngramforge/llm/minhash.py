@@ -5,10 +5,12 @@ A text is the sequence of its words, in lower case and without punctuation aroun
 SAMPLES hash functions picks the ORDER labelled k-mers of least hash; their k-mers in text order
 are the sample.  Texts that agree in a sample are likely to be close in edit distance, not only in
 content.  The texts that share a sample are linked to the one of them that shares most samples with
-others; each link is then verified by a banded alignment of the words.  What the components of the
-links that hold leave apart within a sample is linked in further rounds, at growing distances in
-the order of length, until each two texts of a sample are in one group, were aligned, or differ too
-much in length.  The groups are the connected components of all links that hold.
+others; each link is then verified by a banded alignment of the words.  Texts of a sample that the
+components of the links leave apart are compared in two further rounds, near ones in the order of
+length and then all others: histograms of their hashed words bound the edit distance from below,
+and the pairs that this bound does not rule out are aligned.  So each two texts of a sample are in
+one group, were aligned, or cannot be similar.  The groups are the connected components of all
+links that hold.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ngramforge.llm.common import U64, column, content, cut, mix, segment_ids, slices, table, unused, words
+from ngramforge.llm.common import U64, column, content, cut, group_bounds, mix, second, segment_ids, slices, table, unused, whole_groups, words
 from ngramforge.llm.components import components
 from ngramforge.llm.fingerprint import normal
 
@@ -30,15 +32,18 @@ ORDER = 2
 SAMPLES = 64
 #: Least similarity of two texts of a group: 1 - edit distance in words by the longer length.
 SIMILARITY = 0.75
-#: Growth, from round to round, of the distance in a sample's order within which texts are compared.
-STEP = 8
-#: Words of text hashed at a time.
-CHUNK_WORDS = 1 << 17
+#: Cells of the histogram of a text's words, and the most that a cell counts.
+CELLS = 256
+FULL = 255
+#: Places in a sample's order of length within which texts are compared first, and texts that a task compares with as many others.
+NEAR = 64
+BLOCK = 2048
 #: Half the width of the first band that is tried.
 BAND = 512
 #: Positions times words from which the positions of a word are found when needed, not kept.
 PATTERN_BITS = 1 << 29
-_POSITION = 24
+#: Bits of a hash that give way to the position in the text; longer texts take what they need.
+POSITION_BITS = 24
 
 
 def kmers(offsets: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,9 +83,7 @@ def sketches(offsets: np.ndarray, hashes: np.ndarray, k: int = K, order: int = O
     labelled = mix(value ^ mix(labels(offs, value).astype(U64)))
     starts, n = offs[:-1][some], np.diff(offs)[some]
     position = (np.arange(offs[-1]) - np.repeat(starts, n)).astype(U64)
-    if int(n.max()) >= 1 << _POSITION:
-        raise ValueError("a text of more words than positions can tell apart")
-    low = U64((1 << _POSITION) - 1)
+    low = U64((1 << max(POSITION_BITS, int(n.max()).bit_length())) - 1)
     spread = np.empty_like(value)
     for s in range(samples):
         salt = mix(np.array([seed * 1_000_003 + s + 1], U64))[0] | U64(1)
@@ -196,11 +199,43 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return words(part.column("text"), normal)
 
 
+def _whole_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sample, node, n) in order, without repeated ones and those whose sample no other node has; holds one row between batches."""
+    last: pa.Table | None = None
+    open_ = False  # whether the row held is one of several of its sample
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([last, rows]).combine_chunks() if last is not None else rows
+        sample, node = rows.column("sample").to_numpy(), rows.column("node").to_numpy()
+        once = np.append(True, (sample[1:] != sample[:-1]) | (node[1:] != node[:-1]))
+        rows, sample = rows.filter(pa.array(once)), sample[once]
+        same = np.append(open_, sample[1:] == sample[:-1])
+        keep = same | np.append(same[1:], False)
+        last, open_ = rows.slice(len(sample) - 1), bool(same[-1])
+        out = rows.slice(0, len(sample) - 1).filter(pa.array(keep[:-1]))
+        yield from out.to_batches()
+    if last is not None and open_:
+        yield from last.to_batches()
+
+
 def buckets(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """(sample, node, n, at, held): the content keys of the texts that share a sample, numbered from 1 in order of length, and how many they are."""
+    """(sample, node, n): the content keys of the texts that share a sample, with their number of words.
+
+    A task gives each text that it meets once, so that equal texts don't crowd a sample; those of
+    several tasks meet in the order of the sample.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for part in slices(batches):
+            names = part.column("node").to_pylist()
+            new = []
+            for x in names:
+                new.append(x not in met)
+                met.add(x)
+            part = part.filter(pa.array(new, pa.bool_()))
             offsets, hashes = _tokens(part)
             sketch = sketches(offsets, hashes, samples=samples)
             size = np.diff(offsets)
@@ -208,26 +243,45 @@ def buckets(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
             keys = part.column("node").to_numpy(zero_copy_only=False)[some]
             yield pa.RecordBatch.from_arrays([pa.array(sketch[some].reshape(-1).view(np.int64)), pa.array(np.repeat(keys, samples)), pa.array(np.repeat(size[some], samples).astype(np.int32))], names=["sample", "node", "n"])
 
-    # Rows of one text have equal samples: the distinct rows are what counts.
-    rows = docs.where("text IS NOT NULL").select(content().alias("node"), "text").mapInArrow(run, "sample long, node long, n int")
-    together = Window.partitionBy("sample").orderBy("n", "node")
-    ranked = rows.select("*", F.dense_rank().over(together).alias("at"), F.lag("node").over(together).alias("before"))
-    once = ranked.where("before IS NULL OR before <> node").drop("before")
-    return once.withColumn("held", F.max("at").over(Window.partitionBy("sample"))).where("held > 1")
+    kind = "sample long, node long, n int"
+    rows = docs.where("text IS NOT NULL").select(content().alias("node"), "text").mapInArrow(run, kind)
+    return rows.repartition("sample").sortWithinPartitions("sample", "n", "node").mapInArrow(_whole_samples, kind)
 
 
 def encoded(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(node, words): the word hashes of each text of shared."""
+    """(node, words, cells): the word hashes of each text of shared, and their histogram; of texts that have one key the one of least second key."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             offsets, hashes = _tokens(part)
             short = (hashes >> U64(32)).astype(np.uint32)
             held = [short[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(held, pa.binary())], names=["node", "words"])
+            cells = histograms(offsets, short)
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(held, pa.binary()), pa.array([x.tobytes() for x in cells], pa.binary())], names=["node", "words", "cells"])
+
+    texts = docs.where("text IS NOT NULL").select(content().alias("node"), "text", second().alias("other"))
+    of = texts.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min_by("text", "other").alias("text"))
+    return of.mapInArrow(encode, "node long, words binary, cells binary")
+
+
+def histograms(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """(text, CELLS): how many of each text's words fall in each cell, FULL at most."""
+    n = len(offsets) - 1
+    flat = segment_ids(offsets) * CELLS + (hashes % np.uint32(CELLS)).astype(np.int64)
+    return np.minimum(np.bincount(flat, minlength=n * CELLS).reshape(n, CELLS), FULL).astype(np.uint8)
 
-    texts = docs.where("text IS NOT NULL").select(content().alias("node"), "text")
-    return texts.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(encode, "node long, words binary")
+
+def possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether texts of those histograms and lengths may be similar: each edit makes up for one word that either has more of, at most one each way."""
+    x, y = a.astype(np.int16), b.astype(np.int16)
+    over = np.maximum(x - y, 0).sum(axis=1, dtype=np.int64)
+    under = np.maximum(y - x, 0).sum(axis=1, dtype=np.int64)
+    return np.maximum(over, under) <= limit_of(n, m, similarity)
+
+
+def limit_of(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """The largest edit distance of similar texts of n and m words."""
+    return np.floor((1 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
 
 
 def verified(held: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -258,30 +312,58 @@ def _pairs(linked: DataFrame, similarity: float) -> DataFrame:
 
 def stars(shared: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) of each text to the one of its sample that meets most texts over all samples, as the original of many copies does."""
-    weight = shared.groupBy("node").agg(F.sum("held").alias("weight"))
-    central = Window.partitionBy("sample").orderBy(F.desc("weight"), "node")
-    linked = shared.join(weight, "node").select("node", "n", F.first("node").over(central).alias("other"), F.first("n").over(central).alias("m"))
-    return _pairs(linked, similarity)
+    sized = shared.join(shared.groupBy("sample").agg(F.count("*").alias("held")), "sample")
+    weighed = shared.join(sized.groupBy("node").agg(F.sum("held").alias("weight")), "node")
+    central = weighed.groupBy("sample").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("node").alias("other"), F.col("n").alias("m"))).alias("c"))
+    return _pairs(shared.join(central, "sample").select("node", "n", "c.other", "c.m"), similarity)
 
 
-def apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """shared with root, where a sample's texts are of several groups; most: the group that holds most of them."""
+def apart(shared: DataFrame, roots: DataFrame, held: DataFrame) -> DataFrame:
+    """(sample, node, n, root, cells, at, rows) of the samples whose texts are of several groups; at: the place in the order of length, from 0; rows: how many they are."""
     rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("sample").agg(F.mode("root").alias("most"), (F.min("root") != F.max("root")).alias("mixed")).where("mixed")
-    return rooted.join(mixed.drop("mixed"), "sample")
+    mixed = rooted.groupBy("sample").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where("low <> high").select("sample", "rows")
+    few = rooted.join(mixed, "sample")
+    order = Window.partitionBy("sample").orderBy("n", "node")
+    placed = few.withColumn("at", F.row_number().over(order) - 1)
+    return placed.join(held.select("node", "cells"), "node")
 
 
-def across(mixed: DataFrame, low: int, high: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of texts of a sample and of different groups that stand low to high - 1 places from each other; mixed: apart().
+def across(mixed: DataFrame, low: int, high: int | None, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs (a, b) of texts of a sample and of different groups that stand low to high - 1 places from each other and may be similar; mixed: apart().
 
-    One of two such texts is outside the sample's largest group, so only those look around.
+    A sample of more than BLOCK texts is compared block by block, two of them in a task at a time.
     """
-    up = f"CASE WHEN at + {low} <= held THEN sequence(at + {low}, least(at + {high - 1}, held)) END"
-    down = f"CASE WHEN at - {low} >= 1 THEN sequence(greatest(at - {high - 1}, 1), at - {low}) END"
-    few = mixed.where(f"root <> most AND held > {low}").select("sample", "node", "n", "root", "at", "held")
-    asked = few.withColumn("to", F.explode(F.expr(up))).unionByName(few.withColumn("to", F.explode(F.expr(down))))
-    there = mixed.select("sample", F.col("at").alias("to"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("theirs"))
-    return _pairs(asked.join(there, ["sample", "to"]).where("root <> theirs"), similarity)
+    far = f"(rows - 1) div {BLOCK}" if high is None else f"least((rows - 1) div {BLOCK}, at div {BLOCK} + {-(-(high - 1) // BLOCK)})"
+    near = 0 if high is None else -(-(high - 1) // BLOCK)
+    first = "0" if high is None else f"greatest(0, at div {BLOCK} - {near})"
+    rows = mixed.where(f"rows > {low}").withColumn("own", F.expr(f"at div {BLOCK}")).withColumn("to", F.explode(F.expr(f"sequence({first}, {far})")))
+    rows = rows.select("sample", F.least("own", "to").alias("x"), F.greatest("own", "to").alias("y"), "own", "at", "node", "n", "root", "cells")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, ["sample", "x", "y"]):
+            sample, x, y, own, at, node, n, root = (part.column(c).to_numpy() for c in ("sample", "x", "y", "own", "at", "node", "n", "root"))
+            cells = np.frombuffer(b"".join(part.column("cells").to_pylist()), np.uint8).reshape(len(node), CELLS)
+            a, b = [], []
+            edges = group_bounds(sample, x, y)
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                # The rows of the first block, each with those further on in the order of length.
+                ends = hi if x[lo] == y[lo] else lo + int(np.searchsorted(own[lo:hi], y[lo]))
+                reach = np.floor(n[lo:ends] / similarity + 1e-6)
+                stop = lo + np.searchsorted(n[lo:hi], reach, side="right")
+                if high is not None:
+                    stop = np.minimum(stop, lo + np.searchsorted(at[lo:hi], at[lo:ends] + high))
+                begin = np.maximum(lo + np.searchsorted(at[lo:hi], at[lo:ends] + low), ends if x[lo] != y[lo] else 0)
+                for i, f, e in zip(range(lo, ends), begin.tolist(), stop.tolist(), strict=True):
+                    if f >= e:
+                        continue
+                    other = np.flatnonzero(root[f:e] != root[i]) + f
+                    other = other[possible(cells[other], cells[i : i + 1], n[other], n[i : i + 1], similarity)] if len(other) else other
+                    a.append(np.full(len(other), node[i])), b.append(node[other])
+            if a:
+                one, two = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+
+    return rows.repartition("sample", "x", "y").sortWithinPartitions("sample", "x", "y", "at").mapInArrow(run, "a long, b long").distinct()
 
 
 def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -300,31 +382,34 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     held = cut(encoded(docs, shared))
     tried = cut(stars(shared, similarity))
     roots = components(cut(verified(held, tried, similarity)))
-    low = 1
-    while True:
-        mixed = cut(apart(shared, roots))
-        most = mixed.agg(F.max("held")).first()[0] or 0
-        if most <= low:
-            return roots
-        pairs = cut(across(mixed, low, low * STEP, similarity).join(tried, ["a", "b"], "left_anti"))
+    for low, high in ((1, NEAR), (NEAR, None)):
+        pairs = cut(across(apart(shared, roots, held), low, high, similarity).join(tried, ["a", "b"], "left_anti"))
         edges = cut(verified(held, pairs, similarity))
         if not edges.isEmpty():
             roots = joined(roots, edges)
-        tried = tried.unionByName(pairs)
-        low *= STEP
+    return roots
 
 
 def keepers(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, doc_id, copies, keeper, size) for each distinct row (content, doc_id) with a text.
+    """(node, other, doc_id, copies, keeper, size) for each distinct row (text, doc_id) with a text.
 
-    keeper is the (doc_id, node) that stays of its group: the least doc_id, a null one last, then
-    the least node.  copies counts the rows alike; size counts the rows of the group.
+    node and other are the text's two keys, of 64 bits each; texts are equal where both are.  Of
+    texts that share node only the one of least other was compared; the rest, which are not to be
+    expected, are left alone but for their own copies.  keeper is the (doc_id, node, other) that
+    stays of its group: the least doc_id, a null one last, then the least keys.  copies counts the
+    rows alike; size counts the rows of the group.
     """
-    rows = docs.where("text IS NOT NULL").groupBy(content().alias("node"), "doc_id").agg(F.count("*").alias("copies"))
-    grouped = rows.join(groups(docs, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("node").alias("node"))
-    best = grouped.groupBy("root").agg(F.min(order).alias("keeper"), F.sum("copies").alias("size"))
-    return grouped.join(best, "root").select("node", "doc_id", "copies", F.struct("keeper.doc_id", "keeper.node").alias("keeper"), "size")
+    rows = docs.where("text IS NOT NULL").groupBy(content().alias("node"), second().alias("other"), "doc_id").agg(F.count("*").alias("copies"))
+    texts = rows.groupBy("node").agg(F.min("other").alias("least")).join(groups(docs, similarity), "node", "left")
+    compared = F.col("other") == F.col("least")
+    grouped = rows.join(texts, "node").withColumn("own", F.when(compared, F.lit(0)).otherwise(F.col("other"))).withColumn("root", F.when(compared, F.coalesce("root", "node")).otherwise(F.col("node")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("node").alias("node"), F.col("other").alias("other"))
+    best = grouped.groupBy("root", "own").agg(F.min(order).alias("keeper"), F.sum("copies").alias("size"))
+    return grouped.join(best, ["root", "own"]).select("node", "other", "doc_id", "copies", F.struct("keeper.doc_id", "keeper.node", "keeper.other").alias("keeper"), "size")
+
+
+def _stays() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("node") == F.col("keeper.node")) & (F.col("other") == F.col("keeper.other"))
 
 
 def duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -332,14 +417,13 @@ def duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Returns (doc_id, kept_doc_id, group_size), a row for each row of docs removed.  A null text is
     no copy of anything; empty texts, and texts that differ only in case and punctuation around
-    words, are copies; texts without any word are copies only where equal.  Of rows that repeat
-    all but one are removed; a null doc_id is one like others, kept last; the least doc_id of a
-    group stays; an empty table gives no rows; a text is compared whole; further columns are left
-    out.
+    words, are copies; texts without any word are copies only where equal.  A text without white
+    space is one word.  Of rows that repeat all but one are removed; a null doc_id is one like
+    others, kept last; the least doc_id of a group stays; an empty table gives no rows; a text of
+    any length is compared whole; further columns are left out.
     """
     found = keepers(docs.select("doc_id", "text"), similarity)
-    stays = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("node") == F.col("keeper.node"))
-    gone = found.withColumn("n", F.col("copies") - stays.cast("int")).where("n > 0")
+    gone = found.withColumn("n", F.col("copies") - _stays().cast("int")).where("n > 0")
     return gone.select("doc_id", F.col("keeper.doc_id").alias("kept_doc_id"), F.col("size").alias("group_size"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).drop("i")
 
 
@@ -350,16 +434,15 @@ def keep(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     twice where rows repeat.  Of rows equal in both the one whose other columns hash least stays.
     """
     found = keepers(docs.select("doc_id", "text"), similarity).where("size > 1")
-    stays = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("node") == F.col("keeper.node"))
-    node, doc, copies, first = unused(docs, "_node", "_doc", "_copies", "_stays")
-    marks = cut(found.select(F.col("node").alias(node), F.col("doc_id").alias(doc), F.col("copies").alias(copies), stays.alias(first)))
-    here = (content(docs["text"]) == F.col(node)) & docs["doc_id"].eqNullSafe(F.col(doc)) & docs["text"].isNotNull()
+    node, other, doc, copies, first = unused(docs, "_node", "_other", "_doc", "_copies", "_stays")
+    marks = cut(found.select(F.col("node").alias(node), F.col("other").alias(other), F.col("doc_id").alias(doc), F.col("copies").alias(copies), _stays().alias(first)))
+    here = (content(docs["text"]) == F.col(node)) & (second(docs["text"]) == F.col(other)) & docs["doc_id"].eqNullSafe(F.col(doc)) & docs["text"].isNotNull()
     kept = docs.join(marks.where(f"NOT {first} OR {copies} > 1"), here, "left_anti")
     repeated = marks.where(f"{first} AND {copies} > 1")
     if repeated.isEmpty():
         return kept
     plain = [column(c) for c, kind in docs.dtypes if "map<" not in kind and kind not in ("variant", "void")]
-    tie = Window.partitionBy(node, doc).orderBy(F.xxhash64(*plain))
+    tie = Window.partitionBy(node, other, doc).orderBy(F.xxhash64(*plain))
     one = docs.join(repeated, here).withColumn(first, F.row_number().over(tie)).where(f"{first} = 1")
     return kept.unionByName(one.select(*[column(c) for c in docs.columns]))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ngramforge.llm.common import cut, table
+from ngramforge.llm.common import cut, group_bounds, table, whole_groups
 
 NEIGHBOURS = 10
 #: Links of each node in the graph, and of those to it that a round joins.
@@ -75,39 +75,6 @@ def packed(rows: DataFrame, dim: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, v binary")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[pa.Table]:
-    """Rows in order, cut between groups only; with most, larger groups are cut after that many rows."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < 8192:
-            continue
-        whole = pa.Table.from_batches(held).combine_chunks()
-        last = np.zeros(rows, bool)
-        for key in keys:
-            x = whole.column(key).to_numpy()
-            last |= x != x[-1]
-        end = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-        if most and not end:
-            end = rows - rows % most
-        if end:
-            yield whole.slice(0, end)
-            whole = whole.slice(end)
-        held, rows = whole.to_batches(), whole.num_rows
-    if rows:
-        yield pa.Table.from_batches(held)
-
-
-def _bounds(*keys: np.ndarray) -> np.ndarray:
-    new = np.zeros(len(keys[0]) + 1, bool)
-    new[[0, -1]] = True
-    for x in keys:
-        new[1:-1] |= x[1:] != x[:-1]
-    return np.flatnonzero(new)
-
-
 def _lists(owner: list[np.ndarray], size: list[np.ndarray], ids: list[np.ndarray], sims: list[np.ndarray]) -> pa.RecordBatch:
     offsets = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(size)))).astype(np.int32))
     every = np.concatenate(ids)
@@ -131,10 +98,10 @@ def seeds(vectors: DataFrame, dim: int, n: int, degree: int, trees: int, leaf: i
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), t)), pa.array(code), pa.array(p[:, bits]), batch.column("id"), batch.column("v")], names=["tree", "code", "p", "id", "v"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _whole_groups(batches, ["tree", "code"], leaf):
+        for part in whole_groups(batches, ["tree", "code"], leaf):
             ids, x = part.column("id").to_numpy(), _unpack(part.column("v").combine_chunks(), dim)
             out: tuple[list, list, list, list] = ([], [], [], [])
-            edges = _bounds(part.column("tree").to_numpy(), part.column("code").to_numpy())
+            edges = group_bounds(part.column("tree").to_numpy(), part.column("code").to_numpy())
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 pieces = np.linspace(lo, hi, -(-(hi - lo) // leaf) + 1).astype(int)
                 for a, b in zip(pieces[:-1], pieces[1:], strict=True):
@@ -193,10 +160,10 @@ def offers(graph: DataFrame, vectors: DataFrame, dim: int, degree: int, turn: in
     rows = member.join(known, "id").select("centre", "id", "fresh", F.coalesce("worst", F.lit(-9.0).cast("float")).alias("worst"), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _whole_groups(batches, ["centre"]):
+        for part in whole_groups(batches, ["centre"]):
             ids, fresh, worst = (part.column(c).to_numpy() for c in ("id", "fresh", "worst"))
             x = _unpack(part.column("v").combine_chunks(), dim)
-            edges = _bounds(part.column("centre").to_numpy())
+            edges = group_bounds(part.column("centre").to_numpy())
             out: tuple[list, list, list, list] = ([], [], [], [])
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 new = fresh[a:b].astype(bool)

@@ -8,6 +8,7 @@ from ngramforge.llm import minhash
 from ngramforge.llm.common import words
 from ngramforge.llm.components import components
 from ngramforge.llm.fingerprint import normal
+from tests.llm.conftest import sentence
 
 
 def edit(a, b):
@@ -191,3 +192,47 @@ def test_recall_at_the_threshold(length):
         texts += [" ".join(body), " ".join(edited(rng, body, length // 4))]
     s = minhash.sketches(*words(pa.array(texts), normal))
     assert (s[::2] == s[1::2]).any(axis=1).mean() >= 0.9
+
+
+def test_pairs_that_are_ruled_out_are_far_apart():
+    rng = random.Random(9)
+    body = [f"w{rng.randrange(300)}" for _ in range(100)]
+    texts = [" ".join(edited(rng, body, rng.randint(0, 60))[: rng.randint(60, 100)]) for _ in range(60)]
+    offsets, hashes = words(pa.array(texts), normal)
+    cells, n = minhash.histograms(offsets, (hashes >> np.uint64(32)).astype(np.uint32)), np.diff(offsets)
+    own = [hashes[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+    i, j = np.triu_indices(len(texts), 1)
+    limits = minhash.limit_of(n[i], n[j], minhash.SIMILARITY)
+    near = minhash.distances([(own[a], own[b]) for a, b in zip(i, j)], limits) <= limits
+    maybe = minhash.possible(cells[i], cells[j], n[i], n[j], minhash.SIMILARITY)
+    assert near.any() and not near.all() and (maybe | ~near).all() and not maybe.all()
+
+
+@pytest.mark.parametrize("low, high", [(1, 3), (3, None), (1, None)])
+def test_blocks_cover_all_pairs(spark, monkeypatch, low, high):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = random.Random(low)
+    full = np.zeros(minhash.CELLS, np.uint8).tobytes()
+    rows = [(s, 100 * s + at, rng.choice([10, 11, 12]) if at < 9 else 14, rng.randrange(4), full) for s in (1, 2) for at in range(15)]
+    rows = [r for s in (1, 2) for r in sorted((x for x in rows if x[0] == s), key=lambda x: (x[2], x[1]))]
+    placed = [(s, node, n, root, cells, k % 15, 15) for k, (s, node, n, root, cells) in enumerate(rows)]
+    got = minhash.across(spark.createDataFrame(placed, "sample long, node long, n int, root long, cells binary, at int, rows long"), low, high).collect()
+    want = {(min(a[1], b[1]), max(a[1], b[1])) for a in placed for b in placed if a[0] == b[0] and low <= b[5] - a[5] < (high or 99) and a[3] != b[3] and b[2] - a[2] <= int(0.25 * b[2] + 1e-9)}
+    assert sorted(map(tuple, got)) == sorted(want) and want
+
+
+def test_more_positions_than_a_hash_gives_way_to(monkeypatch):
+    rng = random.Random(2)
+    texts = [sentence(rng, 3000, 200), "a b c", sentence(rng, 40)]
+    before = sketch(*texts)
+    monkeypatch.setattr(minhash, "POSITION_BITS", 3)
+    assert (sketch(*texts) == before).all()
+
+
+def test_texts_of_one_key_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "content", lambda text="text": minhash.F.length(minhash.F.col(text) if isinstance(text, str) else text).cast("long"))
+    rng = random.Random(8)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(2))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, b), (4, a), (5, "x")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.kept_doc_id) for r in minhash.duplicates(docs).collect()) == [(3, 2), (4, 1)]
+    assert sorted(r.doc_id for r in minhash.keep(docs).collect()) == [1, 2, 5]
