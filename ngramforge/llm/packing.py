@@ -1,55 +1,75 @@
 """Order-preserving packing of documents into windows of fixed length by dynamic programming.
 
-Windows follow each other in document order and are cut at ends of documents or sentences.  A
-window costs the tokens that pad it, plus a penalty where its cut truncates a document after a
-sentence, and a larger one within a sentence of more tokens than a window has (such sentences are
-split to pieces of a window's length, the only cuts inside a sentence).  With S the tokens before
-a cut, least(j) = min over i with S_j - S_i <= length of least(i) + S_i, plus length - S_j and the
-penalty at j; the minimum over the sliding range comes from a monotone queue, so a shard takes
-time in proportion to its sentences.  No token is dropped.
+Tokens are those of byte-level BPE (ngramforge.llm.bpe).  Windows follow each other in document
+order and are cut at ends of documents or sentences.  A window costs the tokens that pad it, plus a
+penalty where its cut truncates a document after a sentence, and a larger one within a sentence of
+more tokens than a window has (such sentences are split to pieces of a window's length, the only
+cuts inside a sentence).  With S the tokens before a cut, least(j) = min over i with S_j - S_i <=
+length of least(i) + S_i, plus length - S_j and the penalty at j; the minimum over the sliding range
+comes from a monotone queue, so a shard takes time in proportion to its sentences.  No token is
+dropped.
+
+Documents are packed by shards of SHARD_DOCS on average, whatever their ids are
+(ngramforge.llm.ranges).
 """
 
 from __future__ import annotations
 
 import re
 from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ngramforge.llm.common import table
+from ngramforge.llm.bpe import RANKS, coder, load_ranks
+from ngramforge.llm.common import SLICE_BYTES, slices, table
+from ngramforge.llm.ranges import Numbers, in_order
 
-#: Tokens (words between white space) of a window.
+#: Tokens of a window.
 LENGTH = 2048
 #: Cost of a cut within a document, and of one within a sentence, in tokens of padding.
 SENTENCE_CUT = 16
 INNER_CUT = 256
-#: Documents whose ids follow each other that are packed together; shards are independent.
+#: Mean number of documents that are packed together; shards are independent.
 SHARD_DOCS = 1024
 
-_SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n\s*")
-_WORD = re.compile(r"\S+")
-
-
-def units(text: str, length: int) -> list[tuple[int, int, int]]:
-    """(tokens, end in the text, penalty of a cut there) of each sentence or piece of one; none for a text without words."""
-    out = []
-    start = 0
-    for stop in [m.end() for m in _SENTENCE.finditer(text)] + [len(text)]:
-        n = len(text[start:stop].split())
-        if n > length:
-            ends = [m.end() for m in _WORD.finditer(text, start, stop)]
-            out += [(length, ends[k - 1], INNER_CUT) for k in range(length, n, length)]
-            n = (n - 1) % length + 1
-        if n:
-            out.append((n, stop, SENTENCE_CUT))
-        elif out:
-            out[-1] = (out[-1][0], stop, out[-1][2])
-        start = stop
-    if out:
-        out[-1] = (out[-1][0], len(text), 0)
-    return out
+#: White space after a full stop, the place after one of Chinese, or line breaks.
+_SENTENCE = re.compile(rb"(?<=[.!?])\s+|\n\s*|(?<=\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)\s*|(?<=\xe2\x80\xa6)\s+")
+
+
+def units(text: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, end in the text, penalty of a cut there) of each sentence or piece of one.
+
+    ends: where each token of the text ends.  A sentence ends with the last token that ends a
+    character in it, as a blank may be the next word's; a piece has length tokens, or less by those
+    of a character that would be cut.
+    """
+    data = np.frombuffer(text, np.uint8)
+    whole = np.append((data[ends[:-1]] & 0xC0) != 0x80, True) if len(ends) else np.zeros(0, bool)
+    # The last token, by number from 1, of each prefix that ends with a whole character.
+    safe = np.maximum.accumulate(np.where(np.append(True, whole), np.arange(len(ends) + 1), 0))
+    stops = safe[np.searchsorted(ends, np.fromiter((m.end() for m in _SENTENCE.finditer(text)), np.int64), side="right")]
+    stops = np.unique(np.append(stops, len(ends)))
+    stops = stops[stops > 0]
+    sizes = np.diff(stops, prepend=0)
+    costs = np.full(len(stops), SENTENCE_CUT)
+    if (sizes > length).any():
+        pieces, cost = [], []
+        at = 0
+        for stop in stops.tolist():
+            while stop - at > length:
+                at = int(safe[at + length])
+                pieces.append(at), cost.append(INNER_CUT)
+            at = stop
+            pieces.append(stop), cost.append(SENTENCE_CUT)
+        stops, costs = np.array(pieces), np.array(cost)
+        sizes = np.diff(stops, prepend=0)
+    if len(costs):
+        costs[-1] = 0
+    return sizes, ends[stops - 1], costs
 
 
 def cuts(sizes: list[int], penalties: list[int], length: int) -> list[int]:
@@ -77,52 +97,78 @@ def cuts(sizes: list[int], penalties: list[int], length: int) -> list[int]:
 
 
 SCHEMA = "shard long, window int, n_tokens int, padding int, doc_ids array<long>, texts array<string>"
-
-
-def pack_shard(shard: int | None, docs: list[tuple[int | None, str]], length: int) -> dict[str, list]:
-    """Windows of one shard; docs in order."""
-    sizes, penalties, ends, owner = [], [], [], []
-    for k, (_, text) in enumerate(docs):
-        for n, end, penalty in units(text, length):
-            sizes.append(n), penalties.append(penalty), ends.append(end), owner.append(k)
-    out: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ")}
-    at = 0
-    for number, stop in enumerate(cuts(sizes, penalties, length)):
-        n = sum(sizes[at:stop])
-        ids, texts = [], []
-        i = at
-        while i < stop:
-            k, j = owner[i], i
-            while j < stop and owner[j] == k:
-                j += 1
-            ids.append(docs[k][0])
-            texts.append(docs[k][1][ends[i - 1] if i and owner[i - 1] == k else 0 : ends[j - 1]])
-            i = j
-        for name, value in zip(out, (shard, number, n, length - n, ids, texts), strict=True):
-            out[name].append(value)
-        at = stop
-    return out
-
-
-def pack(docs: DataFrame, length: int = LENGTH, shard_docs: int = SHARD_DOCS) -> DataFrame:
+_ARROW = pa.schema([("shard", pa.int64()), ("window", pa.int32()), ("n_tokens", pa.int32()), ("padding", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
+
+
+class Shard:
+    """The documents of one shard, in order."""
+
+    def __init__(self, number: int, length: int):
+        self.number, self.length = number, length
+        self.ids: list[int | None] = []
+        self.texts: list[bytes] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, doc_id: int | None, text: bytes, ends: np.ndarray) -> None:
+        self.ids.append(doc_id), self.texts.append(text), self.parts.append(units(text, ends, self.length))
+
+    def windows(self) -> pa.RecordBatch:
+        out: dict[str, list] = {c: [] for c in _ARROW.names}
+        if self.ids:
+            sizes, ends, costs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            count = [len(x[0]) for x in self.parts]
+            owner = np.repeat(np.arange(len(count)), count).tolist()
+            total, ends, at = np.append(0, np.cumsum(sizes)), ends.tolist(), 0
+            for number, stop in enumerate(cuts(sizes.tolist(), costs.tolist(), self.length)):
+                ids, texts, i = [], [], at
+                while i < stop:
+                    k, j = owner[i], i
+                    while j < stop and owner[j] == k:
+                        j += 1
+                    ids.append(self.ids[k])
+                    texts.append(self.texts[k][ends[i - 1] if i and owner[i - 1] == k else 0 : ends[j - 1]].decode())
+                    i = j
+                n = int(total[stop] - total[at])
+                for name, value in zip(out, (self.number, number, n, self.length - n, ids, texts), strict=True):
+                    out[name].append(value)
+                at = stop
+        return pa.RecordBatch.from_pydict(out, schema=_ARROW)
+
+
+def pack(docs: DataFrame, length: int = LENGTH, shard_docs: int = SHARD_DOCS, ranks_path: str = RANKS) -> DataFrame:
     """Windows of at most length tokens over docs in the order of doc_id.
 
     Returns (shard, window, n_tokens, padding, doc_ids, texts): the documents of a window and the
-    part of each that stands in it.  shard is doc_id by shard_docs; the text is shuffled once, by
-    shard.  Null and empty texts and ones without words have no part in any window; rows with a
-    null doc_id are one shard of their own, in the order of their texts; rows that repeat a doc_id
-    are packed each, in the order of their texts; an empty table gives no rows; a text of any
-    length is packed whole; further columns are left out.
+    part of each that stands in it; shards and their windows are numbered in the order of the
+    documents, shards with gaps.  Texts are shuffled once, to ranges of the order.  Null and empty
+    texts and ones of nothing but white space have no part in any window; rows with a null doc_id
+    come last, in the order of their texts' keys; rows that repeat a doc_id are packed each, in the
+    order of their texts' keys; rows equal in both are of one shard; an empty table gives no rows;
+    a text of any length is packed whole, also one without blanks; all further columns are left
+    out, whatever their names.
     """
-    schema = pa.schema([("shard", pa.int64()), ("window", pa.int32()), ("n_tokens", pa.int32()), ("padding", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
-
-    def run(group: pa.Table) -> pa.Table:
-        rows = list(zip(group.column("doc_id").to_pylist(), group.column("text").to_pylist(), strict=True))
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        return pa.Table.from_pydict(pack_shard(group.column("shard")[0].as_py(), rows, length), schema=schema)
-
-    kept = docs.select("doc_id", "text").where(F.col("text").rlike(r"\S"))
-    return kept.withColumn("shard", F.expr(f"(doc_id - pmod(doc_id, {shard_docs})) div {shard_docs}")).groupBy("shard").applyInArrow(run, SCHEMA)
+    if length < 4:
+        raise ValueError("a window holds the tokens of any character, which may be four")
+    ranks = load_ranks(docs.sparkSession, ranks_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, numbers = coder(ranks.value), Numbers()
+        shard = None
+        for batch in slices(batches, limit=2 * SLICE_BYTES):
+            offsets, ids = bpe.encode_all(batch.column("text"))
+            far = np.append(0, np.cumsum(bpe.size[ids]))
+            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+            for k, (number, doc_id) in enumerate(zip(numbers.of(batch).tolist(), batch.column("doc_id").to_pylist(), strict=True)):
+                if shard is None or number != shard.number:
+                    if shard:
+                        yield shard.windows()
+                    shard = Shard(number, length)
+                a, b = offsets[k], offsets[k + 1]
+                shard.add(doc_id, texts[k], far[a + 1 : b + 1] - far[a])
+        if shard:
+            yield shard.windows()
+
+    return in_order(docs.where(F.col("text").rlike(r"\S")), shard_docs).mapInArrow(run, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
