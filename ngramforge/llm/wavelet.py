@@ -11,7 +11,6 @@ and its directory.
 from __future__ import annotations
 
 import json
-import os
 import struct
 from collections.abc import Iterator
 
@@ -19,16 +18,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from ngramforge.llm.bpe import RANKS, coder, load_ranks
 from ngramforge.llm.common import SLICE_BYTES, slices, table
+from ngramforge.llm.ranges import Numbers, in_order
 
 MAGIC = b"WVMX1\0\0\0"
 BLOCK = 512
 #: Tokens after which a shard is closed; it ends with the document that reaches this.
 SHARD_TOKENS = 1 << 21
+#: Mean number of documents between those that begin a shard whatever the one before holds.
+SHARD_DOCS = 4096
 
 
 def planes(ids: np.ndarray, bits: int) -> list[tuple[np.ndarray, int]]:
@@ -73,7 +74,8 @@ class WaveletMatrix:
         head = json.loads(blob[16 : 16 + size])
         self.n, self.bits, self.zeros = head["n"], head["bits"], head["zeros"]
         ends = np.cumsum([16 + size, *head["sizes"]])
-        self._blob, self._ends, self._open = blob, ends, {}
+        self._blob, self._ends = blob, ends
+        self._open: dict = {}
         self.doc_ids: list[int | None] = self._section(0, np.int64).tolist()
         for i in head["null"]:
             self.doc_ids[i] = None
@@ -84,45 +86,87 @@ class WaveletMatrix:
             self._open[i] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._blob[self._ends[i] : self._ends[i + 1]]), kind)
         return self._open[i]
 
-    def _bit(self, level: int, i: int) -> int:
-        return int(self._section(2 + 2 * level, np.uint8)[i >> 3] >> (i & 7)) & 1
-
-    def _ones(self, level: int, i: int) -> int:
-        """Ones among the first i bits of a plane."""
-        block = i // BLOCK
-        plane = self._section(2 + 2 * level, np.uint8)
-        start = block * (BLOCK // 8)
-        total = int(self._section(3 + 2 * level, np.uint32)[block]) + int(np.bitwise_count(plane[start : i >> 3]).sum())
-        return total + (int(plane[i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
-
-    def _find(self, level: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) such bit of a plane."""
-        ones = self._section(3 + 2 * level, np.uint32).astype(np.int64)
-        before = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
-        block = int(np.searchsorted(before, k, side="right")) - 1
-        plane = self._section(2 + 2 * level, np.uint8)
-        bits = np.unpackbits(plane[block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)], bitorder="little")
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - before[block]])
+    def _words(self, level: int) -> np.ndarray:
+        """A plane as 64-bit words, whole blocks of them."""
+        if ("w", level) not in self._open:
+            plane = self._section(2 + 2 * level, np.uint8)
+            full = np.zeros((-(-max(self.n, 1) // BLOCK)) * (BLOCK // 8), np.uint8)
+            full[: len(plane)] = plane
+            self._open["w", level] = full.view(np.uint64)
+        return self._open["w", level]
+
+    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
+        """Ones among the first bits of a plane, for each number of bits."""
+        words, word = self._words(level), at >> 6
+        block = at // BLOCK
+        total = self._section(3 + 2 * level, np.uint32)[block].astype(np.int64)
+        first = block * (BLOCK // 64)
+        for k in range(BLOCK // 64 - 1):
+            inside = first + k < word
+            total += np.where(inside, np.bitwise_count(words[np.where(inside, first + k, 0)]), 0)
+        part = np.minimum(word, len(words) - 1)
+        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return total + np.where(at & 63, np.bitwise_count(words[part] & low), 0)
+
+    def _bits(self, level: int, at: np.ndarray) -> np.ndarray:
+        return ((self._section(2 + 2 * level, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+    def _before(self, level: int, bit: int) -> np.ndarray:
+        """Such bits before each block of a plane: what select searches."""
+        ones = self._section(3 + 2 * level, np.uint32)
+        if bit:
+            return ones
+        if ("z", level) not in self._open:
+            self._open["z", level] = (np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones).astype(np.uint32)
+        return self._open["z", level]
+
+    def _find(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th (from 0) such bit of a plane for each k.
+
+        A binary search for the block and one pass over its words; where a large part of the plane
+        is asked for, all positions are listed instead.
+        """
+        if len(k) * 64 > self.n:
+            return np.flatnonzero(np.unpackbits(self._section(2 + 2 * level, np.uint8), bitorder="little", count=self.n) == bit)[k]
+        before = self._before(level, bit)
+        block = np.searchsorted(before, k.astype(np.uint32), side="right") - 1
+        left = k - before[block].astype(np.int64)
+        words = self._words(level)
+        word = block * (BLOCK // 64)
+        for _ in range(BLOCK // 64 - 1):
+            here = np.bitwise_count(words[word] if bit else ~words[word]).astype(np.int64)
+            over = left >= here
+            left = np.where(over, left - here, left)
+            word = np.where(over, word + 1, word)
+            if not over.any():
+                break
+        # A later word is not tried once one holds the bit: rows that stay are tried again, to no effect.
+        bits = np.unpackbits((words[word] if bit else ~words[word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return word * 64 + (np.cumsum(bits, axis=1) <= left[:, None]).sum(axis=1)
+
+    def accesses(self, at: np.ndarray) -> np.ndarray:
+        """Tokens at those positions."""
+        at = np.asarray(at, np.int64)
+        if len(at) and not (at.min() >= 0 and at.max() < self.n):
+            raise IndexError("a position beyond the shard")
+        out = np.zeros(len(at), np.int64)
+        for level in range(self.bits if len(at) else 0):
+            bit, ones = self._bits(level, at), self._ones(level, at)
+            out = out << 1 | bit
+            at = np.where(bit, self.zeros[level] + ones, at - ones)
+        return out
 
     def access(self, i: int) -> int:
         """Token at position i."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        token = 0
-        for level in range(self.bits):
-            bit = self._bit(level, i)
-            token = token << 1 | bit
-            ones = self._ones(level, i)
-            i = self.zeros[level] + ones if bit else i - ones
-        return token
+        return int(self.accesses(np.array([i]))[0])
 
     def _range(self, token: int, i: int) -> tuple[int, int]:
         """Where the token's run starts below the last plane, and its end for the first i positions."""
-        lo, hi = 0, i
+        at = np.array([0, i])
         for level in range(self.bits):
-            a, b = self._ones(level, lo), self._ones(level, hi)
-            lo, hi = (self.zeros[level] + a, self.zeros[level] + b) if token >> (self.bits - 1 - level) & 1 else (lo - a, hi - b)
-        return lo, hi
+            ones = self._ones(level, at)
+            at = self.zeros[level] + ones if token >> (self.bits - 1 - level) & 1 else at - ones
+        return int(at[0]), int(at[1])
 
     def rank(self, token: int, i: int) -> int:
         """Occurrences of the token before position i."""
@@ -134,18 +178,23 @@ class WaveletMatrix:
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
-    def select(self, token: int, k: int) -> int:
-        """Position of the k-th (from 0) occurrence of the token."""
-        if not 0 <= k < self.count(token):
-            raise IndexError(k)
-        i = self._range(token, self.n)[0] + k
-        for level in range(self.bits - 1, -1, -1):
+    def selects(self, token: int, k: np.ndarray) -> np.ndarray:
+        """Positions of the k-th (from 0) occurrences of the token."""
+        k, total = np.asarray(k, np.int64), self.count(token)
+        if len(k) and not (k.min() >= 0 and k.max() < total):
+            raise IndexError("fewer occurrences than that")
+        at = self._range(token, self.n)[0] + k if len(k) else k
+        for level in range(self.bits - 1, -1, -1) if len(k) else ():
             bit = token >> (self.bits - 1 - level) & 1
-            i = self._find(level, bit, i - self.zeros[level] if bit else i)
-        return i
+            at = self._find(level, bit, at - self.zeros[level] if bit else at)
+        return at
+
+    def select(self, token: int, k: int) -> int:
+        """Position of the k-th (from 0) occurrence of the token, in time that grows with the logarithm of the shard."""
+        return int(self.selects(token, np.array([k]))[0])
 
     def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+        return self.selects(token, np.arange(self.count(token))).tolist()
 
     def tokens(self) -> np.ndarray:
         """All ids in order; expands the planes from the lowest up."""
@@ -159,50 +208,57 @@ class WaveletMatrix:
 
     def document(self, k: int) -> list[int]:
         """Ids of the k-th document of the shard."""
-        return [self.access(i) for i in range(int(self.offsets[k]), int(self.offsets[k + 1]))]
+        return self.accesses(np.arange(int(self.offsets[k]), int(self.offsets[k + 1]))).tolist()
 
 
 SCHEMA = "shard_id long, n_docs int, n_tokens long, doc_ids array<long>, file binary"
 
 
-def token_shards(docs: DataFrame, ranks_path: str = RANKS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def token_shards(docs: DataFrame, ranks_path: str = RANKS, shard_tokens: int = SHARD_TOKENS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row for each shard: its documents and its file.
 
-    Each task closes a shard when it holds shard_tokens tokens, so nothing is shuffled, a shard is
-    as large at any input size and a very long document is a shard of its own at most;
-    shard_id is the task's number and the shard's within it.  A null or empty text is a document
-    without tokens; a null doc_id stays null; repeated rows are documents each; an empty table
-    gives no shard; further columns are left out.
+    Documents stand in the order of doc_id, null ones last, then of the text's key; shard_id rises
+    in that order, with gaps.  A shard is closed when it holds shard_tokens tokens, and before each
+    document whose key has a hash divisible by shard_docs; so shards are the same however rows are
+    spread over files, are as large at any input size, and a very long document is a shard of its
+    own at most.  A null or empty text is a document without tokens; a null doc_id stays null;
+    repeated rows are documents each; an empty table gives no shard; further columns are left out,
+    whatever their names.
     """
     ranks = load_ranks(docs.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(ranks.value)
+        bpe, numbers = coder(ranks.value), Numbers()
         bits = int(max(bpe.ranks.values())).bit_length()
         small = np.uint16 if bits <= 16 else np.uint32
-        context = TaskContext.get()
-        base = (context.partitionId() if context else 0) << 24
         ids: list[np.ndarray] = []
         names: list[int | None] = []
         sizes: list[int] = []
-        total = made = 0
+        now, part, total, made = -1, -1, 0, 0
 
         def close() -> pa.RecordBatch:
             nonlocal ids, names, sizes, total, made
             joined = np.concatenate(ids) if ids else np.zeros(0, small)
             blob = pack(joined, names, np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), bits)
-            out = pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([len(names)], pa.int32()), pa.array([total]), pa.array([names], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=["shard_id", "n_docs", "n_tokens", "doc_ids", "file"])
+            out = pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([len(names)], pa.int32()), pa.array([total]), pa.array([names], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=["shard_id", "n_docs", "n_tokens", "doc_ids", "file"])
             ids, names, sizes, total, made = [], [], [], 0, made + 1
             return out
 
-        for part in slices(batches, limit=2 * SLICE_BYTES):
-            offsets, got = bpe.encode_all(pc.fill_null(part.column("text"), ""))
-            got = got.astype(small)
-            n = np.diff(offsets)
-            doc_ids = part.column("doc_id").to_pylist()
+        for batch in slices(batches, limit=2 * SLICE_BYTES):
+            offsets, got = bpe.encode_all(pc.fill_null(batch.column("text"), ""))
+            got, n, number = got.astype(small), np.diff(offsets), numbers.of(batch)
+            doc_ids = batch.column("doc_id").to_pylist()
+            far = np.append(np.flatnonzero(number[1:] != number[:-1]) + 1, len(number))
             at = 0
             while at < len(n):
-                stop = min(len(n), at + int(np.searchsorted(np.cumsum(n[at:]), shard_tokens - total)) + 1)
+                if number[at] != now:
+                    if names:
+                        yield close()
+                    now = int(number[at])
+                    if now >> 32 != part:
+                        part, made = now >> 32, 0
+                stop = int(far[np.searchsorted(far, at, side="right")])
+                stop = min(stop, at + int(np.searchsorted(np.cumsum(n[at:stop]), shard_tokens - total)) + 1)
                 ids.append(got[offsets[at] : offsets[stop]])
                 names += doc_ids[at:stop]
                 sizes += n[at:stop].tolist()
@@ -213,7 +269,7 @@ def token_shards(docs: DataFrame, ranks_path: str = RANKS, shard_tokens: int = S
         if names:
             yield close()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return in_order(docs, shard_docs).mapInArrow(run, SCHEMA)
 
 
 def count_tokens(shards: DataFrame, tokens: list[int]) -> DataFrame:
@@ -229,17 +285,13 @@ def count_tokens(shards: DataFrame, tokens: list[int]) -> DataFrame:
 
 
 def save(shards: DataFrame, folder: str) -> None:
-    """Writes one file for each shard to a folder that all executors share; a retried task writes the same names again."""
+    """Writes one file for each shard, by Spark, to a folder of any file system that it knows; the matrix is compressed already."""
+    shards.write.mode("overwrite").option("maxRecordsPerFile", 1).option("compression", "uncompressed").parquet(folder)
 
-    def run(rows: Iterator) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for row in rows:
-            part = f"{folder}/.{row.shard_id}.part"
-            with open(part, "wb") as file:
-                file.write(row.file)
-            os.replace(part, f"{folder}/{row.shard_id:012d}.wvmx")
 
-    shards.select("shard_id", "file").foreachPartition(run)
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """The shards of a folder; documents and numbers are read without the matrices where those are not asked for."""
+    return spark.read.schema(SCHEMA).parquet(folder)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

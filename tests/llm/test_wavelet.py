@@ -1,5 +1,8 @@
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ngramforge.llm import bpe, wavelet
 
@@ -49,8 +52,35 @@ def test_all_documents(spark, sf_dir):
 def test_saved(spark, odd, tmp_path):
     shards = wavelet.token_shards(odd, shard_tokens=1000)
     wavelet.save(shards, str(tmp_path / "shards"))
-    blobs = [p.read_bytes() for p in sorted((tmp_path / "shards").iterdir())]
-    assert sorted(blobs) == sorted(r.file for r in shards.collect())
+    want = shards.orderBy("shard_id").collect()
+    assert wavelet.load(spark, str(tmp_path / "shards")).orderBy("shard_id").collect() == want
+    assert len(list((tmp_path / "shards").glob("*.parquet"))) == len(want)
+
+
+def test_shards_follow_the_documents_not_the_files(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    a = wavelet.token_shards(docs, shard_tokens=5000, shard_docs=32).orderBy("shard_id").collect()
+    assert a == wavelet.token_shards(docs.repartition(9, "source"), shard_tokens=5000, shard_docs=32).orderBy("shard_id").collect()
+    ids = [d for r in a for d in r.doc_ids]
+    assert ids == sorted(ids) and len(a) > 20
+    nobody = wavelet.token_shards(docs.withColumn("doc_id", F.lit(None).cast("long")), shard_tokens=5000, shard_docs=32).collect()
+    assert sum(r.n_docs for r in nobody) == len(ids) and len({r.shard_id >> 32 for r in nobody}) > 3
+
+
+def test_the_commonest_token_of_a_large_shard():
+    rng = np.random.default_rng(3)
+    n = 1 << 21
+    ids = np.where(rng.random(n) < 0.17, 11, rng.integers(0, 50_000, n))
+    m = wavelet.WaveletMatrix(wavelet.pack(ids, [1], np.array([0, n]), 16))
+    where = np.flatnonzero(ids == 11)
+    began = time.perf_counter()
+    assert m.occurrences(11) == where.tolist()
+    assert time.perf_counter() - began < 3
+    some = rng.integers(0, len(where), 2000)
+    assert np.array_equal(m.selects(11, some), where[some]) and [m.select(11, int(k)) for k in some[:20]] == where[some[:20]].tolist()
+    at = rng.integers(0, n, 3000)
+    assert np.array_equal(m.accesses(at), ids[at])
+    assert [m.rank(11, int(i)) for i in at[:50]] == [int((ids[:i] == 11).sum()) for i in at[:50]]
 
 
 def test_odd_documents(clashing, odd_rows, none):
