@@ -4,24 +4,30 @@ A group is the documents of one text, so that copies share a shard.  Groups are
 size, the largest first, and each enters the shard with the least capacity left that holds it.
 Groups of one size are alike, and so are shards with the same capacity left: the driver packs the
 histogram of sizes, taking whole runs of equal shards from a balanced tree, and hands out ranges of
-ranks.  The groups themselves stay in Spark, which ranks them within their size.
+ranks.  The groups themselves stay in Spark, which ranks them within their size.  Groups beyond the
+capacity count as one size, so the histogram has one row for each byte of the capacity at most,
+whatever the input.
 """
 
 from __future__ import annotations
 
 import random
+from array import array
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ngramforge.llm.common import content, table
+from ngramforge.llm.common import content, cut, second, table
 
 #: Bytes of UTF-8 text that a shard holds.
 CAPACITY = 8 << 20
-#: Sizes above 2**SIZE_BITS count as rounded up to that many leading bits, by 0.1 % at most: the histogram stays below 60,000 rows at any input size.
-SIZE_BITS = 10
-#: Ranges of ranks up to which they are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 50_000
+#: Groups of one size are ranked in so many parts, by the leading bits of their keys.
+RANK_BITS = 12
+#: Ranks that a range of them is cut into where it meets the groups.
+SPAN = 256
 
 
 class Tree:
@@ -77,23 +83,24 @@ class Tree:
         return right
 
 
-def assign(histogram: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Best fit for (size, groups) in falling size: (size, first rank, end of ranks, first shard, groups a shard), and the number of shards.
+def assign(histogram: Iterable[tuple[int, int]], capacity: int) -> tuple[np.ndarray, int]:
+    """Best fit for (size, groups) in falling size, and the number of shards.
 
+    A row for each range of ranks: size, first rank, end of ranks, first shard, groups a shard.
     Ranks of a size start at 0.  A group larger than the capacity has a shard of its own.
     """
-    tree, out, shards = Tree(), [], 0
+    tree, out, shards = Tree(), array("q"), 0
     for size, count in sorted(histogram, reverse=True):
         rank = 0
         while rank < count:
             left = count - rank
             if size > capacity:
-                out.append((size, rank, count, shards, 1))
+                out.extend((size, rank, count, shards, 1))
                 shards += left
                 break
             if size == 0:
                 shards = max(shards, 1)
-                out.append((size, rank, count, 0, left))
+                out.extend((size, rank, count, 0, left))
                 break
             node = tree.tightest(size)
             if node is None:
@@ -108,24 +115,17 @@ def assign(histogram: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[
             fits = room // size
             full = min(n, left // fits)
             if full:
-                out.append((size, rank, rank + full * fits, first, fits))
+                out.extend((size, rank, rank + full * fits, first, fits))
                 rank += full * fits
                 tree.add(room - fits * size, (first, full))
             rest = min(count - rank, fits) if full < n else 0
             if rest:
-                out.append((size, rank, rank + rest, first + full, rest))
+                out.extend((size, rank, rank + rest, first + full, rest))
                 rank += rest
                 tree.add(room - rest * size, (first + full, 1))
             if n - full - bool(rest) > 0:
                 tree.add(room, (first + full + bool(rest), n - full - bool(rest)))
-    return out, shards
-
-
-def size_class(size: Column) -> Column:
-    """size, with all but its SIZE_BITS leading bits rounded up."""
-    low = F.greatest(F.length(F.bin(size)) - SIZE_BITS, F.lit(0))
-    unit = F.call_function("shiftleft", F.lit(1).cast("long"), low)
-    return F.floor((size + unit - 1) / unit).cast("long") * unit
+    return np.frombuffer(out, np.int64).reshape(-1, 5) if len(out) else np.zeros((0, 5), np.int64), shards
 
 
 def shard(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -133,23 +133,32 @@ def shard(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Returns (doc_id, shard, n_bytes, group_bytes), a row for each row of docs.  Null and empty
     texts have no bytes: they are two groups, and go to the first shard.  A group beyond the
-    capacity has a shard of its own.  A null doc_id stays; repeated rows are in one group; equal
-    sizes are ranked by the text's key; an empty table gives no rows; further columns are left
-    out.  Only keys and sizes are moved; the driver gets the histogram of sizes.
+    capacity has a shard of its own; those come first.  A null doc_id stays; repeated rows are in
+    one group; equal sizes are ranked by the text's keys; an empty table gives no rows; further
+    columns are left out.  Texts are read once; only keys and sizes are moved; the driver gets the
+    histogram of sizes.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    narrow = docs.select("doc_id", content().alias("g"), size.alias("n_bytes"))
-    groups = narrow.groupBy("g").agg(F.sum("n_bytes").alias("group_bytes")).withColumn("size", size_class(F.col("group_bytes")))
-    histogram = [(r["size"], r["count"]) for r in groups.groupBy("size").count().collect()]
-    ranges, _ = assign(histogram, capacity)
-    plan = spark.createDataFrame(ranges, "size long, lo long, hi long, first long, each long")
-    if len(ranges) <= BROADCAST_ROWS:
-        plan = F.broadcast(plan)
-    ranked = groups.withColumn("rank", F.row_number().over(Window.partitionBy("size").orderBy("g")) - 1)
-    placed = ranked.join(plan, "size").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    placed = placed.select("g", "group_bytes", (F.col("first") + F.expr("(rank - lo) div each")).alias("shard"))
-    return narrow.join(placed, "g").select("doc_id", "shard", "n_bytes", "group_bytes")
+    narrow = cut(docs.select("doc_id", content().alias("g"), F.when(F.col("text").isNotNull(), second()).alias("h"), size.alias("n_bytes")))
+    # No text has null for its second key, so null texts are a group of their own.
+    narrow = narrow.withColumn("none", F.col("h").isNull()).withColumn("h", F.coalesce("h", F.lit(0).cast("long"))).withColumn("g", F.coalesce("g", F.lit(0).cast("long")))
+    group = ["none", "g", "h"]
+    groups = narrow.groupBy(*group).agg(F.sum("n_bytes").alias("group_bytes")).withColumn("size", F.least("group_bytes", F.lit(capacity + 1)))
+    groups = cut(groups.withColumn("bucket", F.shiftright("g", 64 - RANK_BITS)))
+    per = cut(groups.groupBy("size", "bucket").agg(F.count("*").alias("n")))
+    rows = per.groupBy("size").agg(F.sum("n").alias("n")).toArrow()
+    ranges, _ = assign(zip(rows.column("size").to_pylist(), rows.column("n").to_pylist(), strict=True), capacity)
+    plan = spark.createDataFrame(pa.table([*ranges.T], names=["size", "lo", "hi", "first", "each"]))
+    spans = plan.withColumn("span", F.explode(F.sequence(F.expr(f"lo div {SPAN}"), F.expr(f"(hi - 1) div {SPAN}"))))
+    # Ranks go on from part to part of a size: no part is sorted by one task but the groups of its keys.
+    before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select("size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = Window.partitionBy("size", "bucket").orderBy(*group)
+    ranked = groups.withColumn("i", F.row_number().over(own) - 1).join(base, ["size", "bucket"]).withColumn("rank", F.col("base") + F.col("i"))
+    placed = ranked.withColumn("span", F.expr(f"rank div {SPAN}")).join(spans, ["size", "span"]).where("rank >= lo AND rank < hi")
+    placed = placed.select(*group, "group_bytes", (F.col("first") + F.expr("(rank - lo) div each")).alias("shard"))
+    return narrow.join(placed, group).select("doc_id", "shard", "n_bytes", "group_bytes")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,12 +74,8 @@ def test_all_documents(spark, sf_dir):
         for r in got:
             groups[texts[r.doc_id]] = r.group_bytes
         assert all(n <= capacity or sum(g for t, g in groups.items() if s in where[t]) == n for s, n in load.items())
-
-        def rounded(n):
-            unit = 1 << max(0, n.bit_length() - sharding.SIZE_BITS)
-            return -(-n // unit) * unit
-
-        assert len(load) == len(plain([rounded(n) for n in groups.values() if n], capacity))
+        # Loads are those of best fit decreasing of the real sizes, byte by byte.
+        assert sorted(n for n in load.values() if n) == [n for n in plain([n for n in groups.values() if n], capacity) if n]
 
 
 def test_odd_documents(spark, clashing, odd_rows, none):
@@ -95,3 +91,15 @@ def test_odd_documents(spark, clashing, odd_rows, none):
     assert sharding.shard(none).count() == 0
     empty = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")
     assert {r.shard for r in sharding.shard(empty).collect()} == {0}
+
+
+def test_ranks_go_on_over_parts_and_spans(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SPAN", 4)
+    rng = random.Random(4)
+    texts = [f"{i:05d}" + "x" * rng.choice([0, 0, 0, 3, 9]) for i in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sharding.shard(docs, 37).collect()
+    load = {}
+    for r in got:
+        load[r.shard] = load.get(r.shard, 0) + r.n_bytes
+    assert len(got) == 600 and sorted(load.values()) == plain([len(t) for t in texts], 37)
