@@ -11,12 +11,13 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ngramforge.llm.common import slices, table
+from ngramforge.llm.common import cut, slices, table
 
 _UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|button|caption|dd|details|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>|\n", re.I)
@@ -31,10 +32,67 @@ def lines(page: str) -> list[str]:
     return [line for line in (" ".join(x.split()) for x in text.split("\x00")) if line]
 
 
+#: Bits of a table of subsequence lengths that are held at once; a larger table is halved.
+TABLE_BITS = 1 << 26
+
+
+def _row(own: list[int], other: list[int]) -> int:
+    """The last row of the table of subsequence lengths: a zero bit for each place of own where the length grows."""
+    where: dict[int, int] = {}
+    for k, x in enumerate(own):
+        where[x] = where.get(x, 0) | 1 << k
+    row = full = (1 << len(own)) - 1
+    for x in other:
+        u = row & where.get(x, 0)
+        row = ((row + u) | (row - u)) & full
+    return row
+
+
+def _lengths(own: list[int], other: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of other with each prefix of own."""
+    size = len(own)
+    bits = np.unpackbits(np.frombuffer(_row(own, other).to_bytes(-(-size // 8) or 1, "little"), np.uint8), bitorder="little", count=size)
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _common(own: list[int], other: list[int]) -> list[int]:
+    """Positions of own that a longest common subsequence takes, in memory proportional to the lines.
+
+    A small table is kept whole, as a row of bits for each element of other, and walked back.  Of a
+    larger one only the last rows of both halves of other are computed, which tell where own is to
+    be cut.
+    """
+    if not own or not other:
+        return []
+    if len(own) * len(other) > TABLE_BITS and len(other) > 1:
+        mid = len(other) // 2
+        ahead, back = _lengths(own, other[:mid]), _lengths(own[::-1], other[mid:][::-1])
+        at = int((ahead + back[::-1]).argmax())
+        return _common(own[:at], other[:mid]) + [at + k for k in _common(own[at:], other[mid:])]
+    where: dict[int, int] = {}
+    for k, x in enumerate(own):
+        where[x] = where.get(x, 0) | 1 << k
+    row = full = (1 << len(own)) - 1
+    rows = []
+    for x in other:
+        u = row & where.get(x, 0)
+        row = ((row + u) | (row - u)) & full
+        rows.append(row)
+    i, j, out = len(own), len(other), []
+    while i and j:
+        if rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+        elif j > 1 and not rows[j - 2] >> (i - 1) & 1:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append(i)
+    return out[::-1]
+
+
 def shared(own: list[int], other: list[int]) -> list[int]:
     """Positions of own that a longest common subsequence with other takes.
 
-    Bit-parallel: a row for each element of other, with a zero bit wherever the length grows.
     Equal ends are taken first; elements that the other side lacks cannot be taken.
     """
     lo, hi = 0, 0
@@ -43,29 +101,10 @@ def shared(own: list[int], other: list[int]) -> list[int]:
         lo += 1
     while hi < most - lo and own[-1 - hi] == other[-1 - hi]:
         hi += 1
-    ends = list(range(lo)) + list(range(len(own) - hi, len(own)))
     mine, theirs = set(own[lo : len(own) - hi]), set(other[lo : len(other) - hi])
     at = [i for i in range(lo, len(own) - hi) if own[i] in theirs]
-    b = [x for x in other[lo : len(other) - hi] if x in mine]
-    where: dict[int, int] = {}
-    for k, i in enumerate(at):
-        where[own[i]] = where.get(own[i], 0) | 1 << k
-    full = (1 << len(at)) - 1
-    row, rows = full, []
-    for x in b:
-        u = row & where[x]
-        row = ((row + u) | (row - u)) & full
-        rows.append(row)
-    i, j, middle = len(at), len(b), []
-    while i and j:
-        if rows[j - 1] >> (i - 1) & 1:
-            i -= 1
-        elif j > 1 and not rows[j - 2] >> (i - 1) & 1:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            middle.append(at[i])
-    return sorted(ends + middle)
+    middle = [at[k] for k in _common([own[i] for i in at], [x for x in other[lo : len(other) - hi] if x in mine])]
+    return [*range(lo), *middle, *range(len(own) - hi, len(own))]
 
 
 def _same_segments(a: Column, b: Column) -> Column:
@@ -74,25 +113,62 @@ def _same_segments(a: Column, b: Column) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.size(equal))
 
 
+PAGE = "host string, dir string, path string, page_id long"
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page of a task's range with the ones before and after it; edge: the first and the last page, which lack one."""
+    names = ["host", "dir", "path", "page_id"]
+    held: pa.Table | None = None  # the last two pages, of which the first is done
+    for batch in _ended(batches):
+        if batch is not None:
+            rows = pa.Table.from_batches([batch]).select(names)
+            rows = rows if held is None else pa.concat_tables([held, rows])
+        elif held is None:
+            return
+        else:
+            rows = held
+        n, first, last = rows.num_rows, held is None or held.num_rows == 1, batch is None
+        begin, end = (0 if first else 1), (n if last else n - 1)
+        if end > begin:
+            index = np.arange(begin, end)
+            before, after = pa.array(index - 1, mask=index == 0), pa.array(index + 1, mask=index == n - 1)
+            own = rows.slice(begin, end - begin)
+            out = {c: own.column(c) for c in names}
+            out |= {f"prev_{c}": rows.column(c).take(before) for c in names} | {f"next_{c}": rows.column(c).take(after) for c in names}
+            out["edge"] = pa.array((index == 0) | (index == n - 1))
+            yield from pa.table(out).to_batches()
+        held = rows.slice(max(0, n - 2))
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches that hold rows, then None."""
+    yield from (b for b in batches if b.num_rows)
+    yield None
+
+
 def partners(pages: DataFrame) -> DataFrame:
     """(page_id, partner_id): the page next to each in its host.
 
-    Only ids and URLs are moved.  Neighbours are found within each directory first; then the first
-    and last page of each directory are put in order within the host, so that a host of many pages
-    is not sorted by one task unless they all are in one directory.
+    Only ids and URLs are moved, to ranges of the order of host, directory, path and id, whatever a
+    host or directory holds; a task finds neighbours within its range, and its first and last page
+    meet those of the ranges next to it: two rows a task.
     """
     url = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)([^?#]*)"
     nav = pages.where(F.col("page_id").isNotNull() & F.col("url").isNotNull()).groupBy("page_id").agg(F.min("url").alias("url"))
     nav = nav.select("page_id", F.lower(F.regexp_extract("url", url, 1)).alias("host"), F.regexp_extract("url", url, 2).alias("path")).where("host <> ''")
-    nav = nav.withColumn("dir", F.regexp_replace("path", "[^/]*$", "")).withColumn("me", F.struct("dir", "path", "page_id"))
-    near = Window.partitionBy("host", "dir").orderBy("path", "page_id")
-    nav = nav.withColumn("prev", F.lag("me").over(near)).withColumn("next", F.lead("me").over(near))
-    edge = F.col("prev").isNull() | F.col("next").isNull()
-    far = Window.partitionBy("host").orderBy("dir", "path", "page_id")
-    ends = nav.where(edge).withColumn("prev", F.coalesce("prev", F.lag("me").over(far))).withColumn("next", F.coalesce("next", F.lead("me").over(far)))
-    both = nav.where(~edge).unionByName(ends)
-    after = F.col("prev").isNull() | (_same_segments(F.col("next.path"), F.col("path")) > _same_segments(F.col("prev.path"), F.col("path")))
-    return both.select("page_id", F.when(after, F.col("next.page_id")).otherwise(F.col("prev.page_id")).alias("partner_id")).where("partner_id IS NOT NULL")
+    nav = nav.withColumn("dir", F.regexp_replace("path", "[^/]*$", "")).select("host", "dir", "path", F.col("page_id").cast("long").alias("page_id"))
+    order = ["host", "dir", "path", "page_id"]
+    kind = PAGE + "".join(f", {side}_{c}" for side in ("prev", "next") for c in PAGE.split(", ")) + ", edge boolean"
+    placed = cut(nav.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, kind))
+    far = Window.orderBy(*order)
+    ends = placed.where("edge")
+    for c in order:
+        ends = ends.withColumn(f"prev_{c}", F.coalesce(f"prev_{c}", F.lag(c).over(far))).withColumn(f"next_{c}", F.coalesce(f"next_{c}", F.lead(c).over(far)))
+    both = placed.where("NOT edge").unionByName(ends)
+    near = {side: F.when(F.col(f"{side}_host") == F.col("host"), _same_segments(F.col(f"{side}_path"), F.col("path"))) for side in ("prev", "next")}
+    partner = F.when(near["prev"].isNull() | (near["next"] > near["prev"]), F.when(near["next"].isNotNull(), F.col("next_page_id"))).otherwise(F.col("prev_page_id"))
+    return both.select("page_id", partner.alias("partner_id")).where("partner_id IS NOT NULL")
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 from ngramforge.llm import pages
 
@@ -30,6 +31,42 @@ def test_common_subsequence():
     assert len(pages.shared(a, b)) == longest(a, b)
 
 
+def test_large_tables_are_halved(monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(pages, "TABLE_BITS", 40)
+    for _ in range(200):
+        a, b = ([rng.randrange(7) for _ in range(rng.randrange(40))] for _ in range(2))
+        at = pages.shared(a, b)
+        assert at == sorted(set(at)) and len(at) == longest(a, b) and follows([a[i] for i in at], b)
+
+
+def test_memory_of_long_differing_pages():
+    a = list(range(16_000))
+    b = list(a)
+    random.Random(3).shuffle(b)
+    tracemalloc.start()
+    at = pages.shared(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert follows(at, b) and len(at) > 200 and most < 40_000_000
+
+
+def test_partners_over_many_ranges(spark):
+    rng = random.Random(7)
+    rows = [(i, f"http://h{rng.randrange(3)}.com/d{rng.randrange(2)}/{rng.randrange(40)}", f"<p>{i}</p>") for i in range(300)]
+    rows += [(1000, "http://alone.com/x", "<p>z</p>")]
+    want = {p: partner for p, (partner, _, _) in brute(rows).items() if partner is not None}
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for ranges in ("1", "7", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            assert {r.page_id: r.partner_id for r in pages.partners(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_lines():
     page = "<html><head><title>t</title></head><body><!-- no --><p>a <b>b</b>\n c</p><script>var x='<p>';</script><br>d &amp; e<li>f</li></body>"
     assert pages.lines(page) == ["a b", "c", "d & e", "f"]
