@@ -5,7 +5,8 @@ compared with each other.  Each round then joins, at every node, its neighbours
 have it as theirs, and offers every pair of them to each other where one of the two links is new
 and the similarity beats the worst neighbour held, until few links change.  Vectors travel with a
 byte for each dimension; the neighbours that are given out are compared anew in full precision.
-A query walks the graph: it looks at the neighbours of the best nodes it has not looked at yet.
+Rows with equal vectors are one node.  A query walks the graph: it looks at the neighbours of the
+best nodes it has not looked at yet, until it has looked into all that it holds.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ LEAF = 384
 ROUNDS = 8
 #: A round that changes less than this share of the links is the last.
 CHANGED = 0.015
-#: Rounds of a query's walk, and nodes that it looks into in each.
-HOPS = 2
-EXPAND = 1
-#: Neighbours that are compared in full precision for each one given out.
+#: Nodes that a query looks into in each round of its walk.
+EXPAND = 4
+#: Neighbours that are held in a walk, and compared in full precision, for each one given out.
 SPARE = 2
+#: The queries are the rows whose id this divides.
+ASKED = 20
 
 LINKS = "id long, ids array<long>, sims array<float>, fresh array<boolean>"
 
@@ -196,11 +198,11 @@ def descend(vectors: DataFrame, dim: int, degree: int = DEGREE, trees: int = TRE
     return graph
 
 
-def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, dim: int, beam: int, hops: int = HOPS, expand: int = EXPAND) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, dim: int, beam: int, expand: int = EXPAND) -> DataFrame:
     """(id, ids, sims, fresh) for queries (id, v, start array<long>): the best nodes found by walking the graph from start.
 
-    In each hop a query looks into the neighbours of its best nodes that it has not looked into;
-    the walk ends when no query has one left, or after that many hops.  A query is not its own
+    In each hop a query looks into the neighbours of its best nodes, of the beam it holds, that it
+    has not looked into; the walk ends when no query has one left.  A query is not its own
     neighbour where a node has its id.
     """
 
@@ -217,7 +219,7 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, dim: int, b
 
     pool = cut(merged(compared(queries.select("id", F.explode(F.col("start").cast("array<long>")).alias("node")).distinct()), beam))
     seen = queries.select("id", F.array().cast("array<long>").alias("done"))
-    for _ in range(hops):
+    while True:
         state = pool.join(seen, "id", "left").withColumn("next", F.slice(F.array_except("ids", F.coalesce("done", F.array().cast("array<long>"))), 1, expand))
         state = cut(state.withColumn("done", F.concat(F.coalesce("done", F.array().cast("array<long>")), "next")))
         step = state.select("id", F.explode("next").alias("at"), F.col("ids").alias("have"))
@@ -229,8 +231,17 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, dim: int, b
     return pool
 
 
-def nearest(rows: DataFrame, k: int = NEIGHBOURS, id_column: str = "vec_id", vector: str = "embedding", degree: int = DEGREE) -> DataFrame:
-    """The k nearest other rows of each row, by walks that start from its links in the graph.
+def nodes(exact: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(node, id, x) of the k + 1 least ids of each distinct vector of exact (id, x), and (id, node) of all rows; node: the least id that has the vector."""
+    key = exact.select("id", "x", F.struct(F.xxhash64("x").alias("a"), F.xxhash64(F.lit(7), "x").alias("b")).alias("key"))
+    least = Window.partitionBy("key").orderBy("id")
+    few = cut(key.withColumn("i", F.row_number().over(least)).where(F.col("i") <= k + 1))
+    of = few.where("i = 1").select("key", F.col("id").alias("node"))
+    return few.join(of, "key").select("node", "id", "x"), key.select("id", "key").join(of, "key").select("id", "node")
+
+
+def nearest(rows: DataFrame, k: int = NEIGHBOURS, id_column: str = "vec_id", vector: str = "embedding", degree: int = DEGREE, asked: int = 1) -> DataFrame:
+    """The k nearest other rows of each row whose id asked divides, among all rows, by walks that start from its links in the graph.
 
     Returns (vec_id, neighbour_ids, similarities), one row for each distinct id, best first; equal
     similarities go by id.  Rows without an id are left out.  A null, empty or odd-sized vector and
@@ -239,14 +250,19 @@ def nearest(rows: DataFrame, k: int = NEIGHBOURS, id_column: str = "vec_id", vec
     lists are shorter; an empty table gives no rows; further columns are left out.
     """
     exact, dim = valid(rows, id_column, vector)
-    every = rows.select(F.col(id_column).cast("long").alias("vec_id")).where("vec_id IS NOT NULL").distinct()
+    every = rows.select(F.col(id_column).cast("long").alias("vec_id")).where(f"vec_id IS NOT NULL AND vec_id % {asked} = 0").distinct()
     if not dim:
         return every.select("vec_id", F.lit(None).cast("array<long>").alias("neighbour_ids"), F.lit(None).cast("array<double>").alias("similarities"))
-    vectors = cut(packed(exact, dim))
+    exact = cut(exact)
+    members, of = nodes(exact, k)
+    members = cut(members)
+    vectors = cut(packed(members.where("id = node").select("id", "x"), dim))
     graph = descend(vectors, dim, degree)
-    starts = graph.select("id", F.slice("ids", 1, SPARE * k).alias("start"))
-    found = search(vectors.join(starts, "id"), graph, vectors, dim, SPARE * k)
-    near = found.select("id", F.explode("ids").alias("node"))
+    of = cut(of.where(f"id % {asked} = 0"))
+    starts = graph.join(of.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", F.slice("ids", 1, SPARE * k).alias("start"))
+    found = search(vectors.join(starts, "id"), graph, vectors, dim, SPARE * k).select("id", F.explode("ids").alias("near"))
+    # A query's own node holds the rows that equal it.
+    found = found.unionByName(of.select(F.col("node").alias("id"), F.col("node").alias("near")).distinct())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,15 +270,21 @@ def nearest(rows: DataFrame, k: int = NEIGHBOURS, id_column: str = "vec_id", vec
                 a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64) for c in ("x", "y"))
                 size = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
                 s = np.einsum("ij,ij->i", a, b) / np.where(size > 0, size, 1)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array(s)], names=["id", "node", "s"])
-
-    single = exact.select("id", F.col("x").cast("array<float>").alias("x"))
-    both = near.join(single.select(F.col("id").alias("node"), F.col("x").alias("y")), "node").join(single, "id").select("id", "node", "x", "y")
-    ranked = both.mapInArrow(measure, "id long, node long, s double").groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "node"))), 1, k).alias("best"))
-    # A node without any link has an empty list.
-    named = vectors.select(F.col("id").alias("i")).join(ranked, F.col("i") == F.col("id"), "left").select("i", F.coalesce(F.col("best.node"), F.array().cast("array<long>")).alias("neighbour_ids"), F.coalesce(F.transform("best", lambda b: -b["d"]), F.array().cast("array<double>")).alias("similarities"))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("near"), pa.array(s)], names=["id", "near", "s"])
+
+    single = members.where("id = node").select("node", F.col("x").cast("array<float>").alias("x"))
+    both = found.join(single.select(F.col("node").alias("near"), F.col("x").alias("y")), "near").join(single.select(F.col("node").alias("id"), "x"), "id").select("id", "near", "x", "y")
+    near = both.mapInArrow(measure, "id long, near long, s double")
+    # The nodes' rows: k + 1 of each are enough, as a query leaves out no row but itself.
+    reached = near.join(members.select(F.col("node").alias("near"), F.col("id").alias("other")), "near")
+    ranked = reached.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "other"))), 1, k + 1).alias("best"))
+    best = F.slice(F.filter("best", lambda b: b["other"] != F.col("i")), 1, k)
+    # A row without any other has an empty list.
+    named = of.select(F.col("id").alias("i"), "node").join(ranked, F.col("node") == F.col("id"), "left").select("i", best.alias("best"))
+    named = named.select("i", F.coalesce(F.col("best.other"), F.array().cast("array<long>")).alias("neighbour_ids"), F.coalesce(F.transform("best", lambda b: -b["d"]), F.array().cast("array<double>")).alias("similarities"))
     return every.join(named, F.col("vec_id") == F.col("i"), "left").select("vec_id", "neighbour_ids", "similarities")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(table(spark, sf_dir, "embeddings"))
+    """All rows are nodes of the graph; the rows whose id ASKED divides are the queries."""
+    return nearest(table(spark, sf_dir, "embeddings"), asked=ASKED)

@@ -21,7 +21,7 @@ def test_all_embeddings(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
     ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float64)
     want, s = brute(ids, x, neighbours.NEIGHBOURS)
-    got = neighbours.query(spark, sf_dir).collect()
+    got = neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).collect()
     assert len(got) == len(set(ids)) and recall({r.vec_id: r.neighbour_ids for r in got}, want) >= 0.95
     at = {i: n for n, i in enumerate(ids)}
     for r in got[:100]:
@@ -29,6 +29,24 @@ def test_all_embeddings(spark, sf_dir):
         assert np.allclose(r.similarities, [s[at[r.vec_id], at[j]] for j in r.neighbour_ids], atol=1e-5)
 
 
+def test_the_query_asks_for_a_part_against_all(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
+    want, _ = brute([r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float64), neighbours.NEIGHBOURS)
+    got = {r.vec_id: r.neighbour_ids for r in neighbours.query(spark, sf_dir).collect()}
+    assert set(got) == {i for i in want if i % 20 == 0} and recall(got, {i: want[i] for i in got}) >= 0.95
+    assert any(j % 20 for near in got.values() for j in near)
+
+
+def test_many_equal_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    rows = [(i, x[i].tolist() if i < 300 else x[0].tolist()) for i in range(700)]
+    got = {r.vec_id: r for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)).collect()}
+    assert len(got) == 700
+    assert got[0].neighbour_ids == list(range(300, 310)) and got[650].neighbour_ids == [0, *range(300, 309)] and got[305].neighbour_ids == [0, *range(300, 305), *range(306, 310)]
+    assert all(abs(s - 1) < 1e-9 for s in got[650].similarities) and len(set(got[7].neighbour_ids)) == 10
+
+
 @pytest.mark.parametrize("kind", ["even", "clusters"])
 def test_recall_beyond_the_leaves(spark, kind):
     rng = np.random.default_rng(7)
@@ -53,7 +71,7 @@ def test_queries_walk_the_graph(spark):
     from pyspark.sql import functions as F
 
     queries = neighbours.packed(frame, 16).withColumn("start", F.array(*(F.lit(int(i)) for i in rng.integers(0, 1500, 8))))
-    found = {r.id: r.ids[:10] for r in neighbours.search(queries, graph, vectors, dim, 40, hops=12, expand=4).collect()}
+    found = {r.id: r.ids[:10] for r in neighbours.search(queries, graph, vectors, dim, 40).collect()}
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
     s = unit(asked) @ unit(x).T
     want = {10_000 + i: set(np.argsort(-s[i])[:10].tolist()) for i in range(50)}
