@@ -166,6 +166,8 @@ def sample(docs: DataFrame, label: str, rows: int) -> DataFrame:
     """(label, h, buckets, values): the features of at most that many labelled rows of each language, least hash of the text first.
 
     Whole texts are read, by the executors; what they give has a bounded size whatever the texts'.
+    Rows with a null label and null or empty texts are no sample; rows that repeat a label and a
+    text count once; further columns are left out.
     """
     known = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select(F.col(label).alias("label"), F.col("text").alias("text"), F.xxhash64("text").alias("h"))
     best = Window.partitionBy("label").orderBy("h")
@@ -186,7 +188,11 @@ def sample(docs: DataFrame, label: str, rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, label: str = "lang", rows: int = SAMPLE_ROWS, families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
-    """Machines fitted by the driver to the bounded sample; a language of no family is one by itself."""
+    """Machines fitted by the driver to the bounded sample; a language of no family is one by itself.
+
+    The sample is taken in the order of labels and hashes, so the machines do not depend on how
+    rows are spread; without any labelled text there are no machines, and nothing has a language.
+    """
     got = sorted(sample(docs, label, rows).collect(), key=lambda r: (r.label, r.h))
     x = np.zeros((len(got), BUCKETS), np.float32)
     for row, r in zip(x, got, strict=True):
@@ -222,7 +228,11 @@ def identify(docs: DataFrame, model: Model, letters: float = LETTERS, margin: fl
 
 
 def keep(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Rows of docs whose language is accepted, with lang set to the language found; without labelled rows all that hold a letter stay."""
+    """Rows of docs whose language is accepted, with lang set to the language found; without labelled rows all that hold a letter stay.
+
+    Rows are judged by themselves, repeated ones alike; all columns stay, also ones called like
+    those of identify(); an empty table gives no rows.
+    """
     model = model or fit(docs)
     if not model.families:
         return docs.where(F.col("text").rlike(r"\p{L}"))

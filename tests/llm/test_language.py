@@ -92,3 +92,92 @@ def test_languages_never_fitted_and_random_text_go(documents):
     short = [" ".join(t.split()[:5]) for t in held if len(t.split()) >= 5]
     for clean in (held, short):
         assert np.mean(model.predict(pa.array(clean))[2] >= language.MARGIN) > 0.97
+
+
+def plain_features(text):
+    """Trigram counts by the root of their number, byte by byte."""
+    data = []
+    for b in text.encode():
+        letter = 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+        data.append((b + 32 if 65 <= b <= 90 else b) if letter else 32)
+    n, out = len(data) - 2, {}
+    for i in range(n):
+        bucket = ((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> 18
+        out[bucket] = out.get(bucket, 0) + 1
+    return {k: v / n**0.5 for k, v in out.items()}
+
+
+def plain_verdict(model, text):
+    """Family, language and margin from the weights alone: decisions and votes one by one."""
+    x = plain_features(text)
+    value = [sum(v * float(model.weights[k, m]) for k, v in x.items()) + float(model.bias[m]) for m in range(model.weights.shape[1])]
+    heads, pairs = value[: model.n_heads], value[model.n_heads :]
+    if model.n_heads == 1:
+        family, sure = model.families[0 if heads[0] > 0 else 1], abs(heads[0])
+    else:
+        family, sure = model.families[heads.index(max(heads))], sorted(heads)[-1] - sorted(heads)[-2]
+    members = [lang for lang in model.family_of if model.family_of[lang] == family]
+    votes = {lang: [0, 0.0] for lang in members}
+    for (a, b), v in zip(model.pairs, pairs):
+        for lang, s in ((a, v), (b, -v)):
+            if lang in votes:
+                votes[lang][0] += s > 0
+                votes[lang][1] += float(np.tanh(s))
+    lang = max(members, key=lambda la: (votes[la][0] + 1e-3 * votes[la][1], -members.index(la)))
+    own = [abs(v) for (a, b), v in zip(model.pairs, pairs) if lang in (a, b)]
+    return family, lang, min([sure, *own])
+
+
+def test_verdicts_as_decision_by_decision(spark, documents):
+    model = language.fit(documents)
+    rows = documents.where("length(text) >= 3").orderBy("doc_id").collect()
+    got = {r.doc_id: r for r in language.identify(documents, model).collect()}
+    close = 0
+    for r in rows:
+        family, lang, margin = plain_verdict(model, r.text)
+        g = got[r.doc_id]
+        if g._lang is None:
+            continue
+        if margin < 1e-4:  # sums in another order
+            close += 1
+            continue
+        assert (g._family, g._lang) == (family, lang) and (g._margin == 0 or abs(g._margin - margin) < 1e-3)
+    assert close < 0.02 * len(rows)
+    rng = random.Random(4)
+    apart = {x: (x,) for x in SYLLABLES}
+    texts = [(prose(rng, x), x) for x in SYLLABLES for _ in range(20)]
+    many = language.fit(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string"), families=apart)
+    asked = [prose(rng, x, 12) for x in SYLLABLES for _ in range(5)]
+    assert [plain_verdict(many, t)[1] for t in asked] == many.predict(pa.array(asked))[1].tolist()
+
+
+def test_machines_are_the_least_of_their_objective():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 6)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] + 0.3 * rng.normal(size=40) > 0.2, 1, -1).astype(np.float32)
+    w, bias = language.fit_svm(x, y, penalty=0.05, rounds=2000)
+    share = [0.5 / (y > 0).sum() if t > 0 else 0.5 / (y < 0).sum() for t in y]
+
+    def objective(v):
+        slack = sum(s * max(0.0, 1 - t * (sum(a * b for a, b in zip(row, v[:-1])) + v[-1])) ** 2 for row, t, s in zip(x.tolist(), y.tolist(), share))
+        return slack + 0.05 / 2 * sum(a * a for a in v)
+
+    best = [*w.tolist(), bias]
+    # Convex: a point that no small step along any axis improves is the least one.
+    for i in range(len(best)):
+        for step in (0.01, -0.01):
+            assert objective(best) <= objective([b + step * (k == i) for k, b in enumerate(best)]) + 1e-6
+
+
+def test_sample_with_nulls_ties_and_repeats(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, x), x) for x in ("de", "en") for i in range(6)]
+    rows += [rows[0], rows[0], (1, rows[0][1], None), (2, None, "de"), (3, "", "en"), (None, prose(rng, "en"), "en"), (4, rows[0][1], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.sample(docs, "lang", 4).collect()
+    assert sorted(r.label for r in got) == ["de"] * 4 + ["en"] * 4 and len({(r.label, r.h) for r in got}) == 8
+    a, b = language.fit(docs), language.fit(docs.repartition(3, "text"))
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.bias, b.bias)
+    clash = docs.select("*", F.lit("x").alias("label"), F.lit("y").alias("h"), F.lit("z").alias("buckets"))
+    assert np.array_equal(language.fit(clash).weights, a.weights)
+    assert language.fit(docs.where("lang IS NULL")).families == []

@@ -1,5 +1,8 @@
+from itertools import accumulate
+
 import corpus_pipeline
-from ngramforge.llm import language, packing, suffixes
+from ngramforge.llm import bpe, language, packing, suffixes
+from tests.llm import test_packing as packed
 from tests.llm.test_minhash import brute as groups
 from tests.llm.test_suffixes import brute as repeated
 
@@ -49,15 +52,21 @@ def test_every_stage_as_brute_force(spark, sf_dir, tmp_path):
     assert {d: " ".join(r.text.split()) for d, r in got.items()} == {d: t for d, t in want.items() if t}
     assert all(r.n_chars == len(r.text) for d, r in got.items() if covered[d, dict(rows)[d]])
 
-    # Packing: windows of each shard's documents.
-    shards = {}
-    for d, r in sorted(got.items()):
-        shards.setdefault(d // packing.SHARD_DOCS, []).append((d, r.text))
-    want = []
-    for shard, own in shards.items():
-        made = packing.pack_shard(shard, own, packing.LENGTH)
-        want += list(zip(*made.values(), strict=True))
-    assert sorted(map(tuple, windows.collect())) == sorted(want)
+    # Packing: the texts whole and in order, at the least cost in each shard.
+    made = sorted(windows.collect(), key=lambda r: (r.shard, r.window))
+    assert {d: "".join(x) for d, x in packed.whole(made).items()} == {d: r.text for d, r in got.items()}
+    with open(bpe.RANKS, "rb") as file:
+        coder = bpe.coder(file.read())
+    by = {}
+    for r in made:
+        by.setdefault(r.shard, []).append(r)
+    want = packed.shards(cut, packing.SHARD_DOCS)
+    assert [sorted({d for r in own for d in r.doc_ids}) for own in by.values()] == want
+    for own, members in zip(by.values(), want):
+        parts = [packed.units(coder, got[d].text, packing.LENGTH) for d in members]
+        sizes, penalties = ([int(x) for p in parts for x in p[k]] for k in (0, 2))
+        ends = [k for k, at in enumerate(accumulate(sizes), 1) if at in set(accumulate(r.n_tokens for r in own))]
+        assert packed.cost(ends, sizes, penalties, packing.LENGTH) == packed.least(sizes, penalties, packing.LENGTH)
 
     # The whole at once gives the same rows.
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, windows.collect()))
