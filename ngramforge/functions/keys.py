@@ -16,17 +16,17 @@ START = "\ue02b"
 END = "\ue02d"
 MARKERS = (START, END)
 SEP = "\x1f"
-_ESC = "\x1e"
+ESC = "\x1e"
 #: Stands for a null token where keys are compared; no token is escaped to it.
-NULL = _ESC + "2"
+NULL = ESC + "2"
 
 
 def escape(token: Column) -> Column:
-    return F.replace(F.replace(token, F.lit(_ESC), F.lit(_ESC + "0")), F.lit(SEP), F.lit(_ESC + "1"))
+    return F.replace(F.replace(token, F.lit(ESC), F.lit(ESC + "0")), F.lit(SEP), F.lit(ESC + "1"))
 
 
 def unescape(token: Column) -> Column:
-    return F.replace(F.replace(token, F.lit(_ESC + "1"), F.lit(SEP)), F.lit(_ESC + "0"), F.lit(_ESC))
+    return F.replace(F.replace(token, F.lit(ESC + "1"), F.lit(SEP)), F.lit(ESC + "0"), F.lit(ESC))
 
 
 def key(tokens: Column) -> Column:
@@ -36,7 +36,7 @@ def key(tokens: Column) -> Column:
 
 def literal(tokens: Sequence[str]) -> str:
     """Key of tokens known to the driver."""
-    return SEP.join(t.replace(_ESC, _ESC + "0").replace(SEP, _ESC + "1") for t in tokens)
+    return SEP.join(t.replace(ESC, ESC + "0").replace(SEP, ESC + "1") for t in tokens)
 
 
 def tokens(key_: Column, k: Column) -> Column:

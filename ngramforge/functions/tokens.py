@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -95,6 +94,3 @@ def spans(tokens: Column, longest: int) -> Column:
     at = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - i + 1)), lambda k: F.slice(tokens, i, k))
     return F.when(size > 0, F.flatten(F.transform(F.sequence(F.lit(1), size), at))).otherwise(F.array().cast("array<array<string>>"))
 
-
-def array_of(values: Sequence[str]) -> Column:
-    return F.array(*(F.lit(v) for v in values)) if values else F.array().cast("array<string>")

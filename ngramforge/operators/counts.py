@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ngramforge.functions.keys import END, MARKERS, SEP, START, escape, first, last, prefix
+from ngramforge.functions.keys import END, ESC, MARKERS, SEP, START, escape, first, last, prefix
 
 COUNTS = ("k", "ngram", "count", "back_count")
 
@@ -30,9 +30,20 @@ def padded(sentences: DataFrame, length: int) -> DataFrame:
         raise ValueError("n-grams have one token at least")
     freq = checked(F.coalesce(F.col("freq").cast("long"), F.lit(1))) if "freq" in sentences.columns else F.lit(1).cast("long")
     n = F.coalesce(F.col("ngram_length"), F.lit(length)) if "ngram_length" in sentences.columns else F.lit(length)
-    known = F.filter("tokens", lambda t: t.isNotNull())
-    tokens = F.concat(F.array(F.lit(START)), F.transform(known, escape), F.array(F.lit(END)))
-    return sentences.where(F.size(known) > 0).select(tokens.alias("tokens"), freq.alias("freq"), n.cast("int").alias("n"))
+    inner = escaped(F.col("tokens"))
+    tokens = F.concat(F.array(F.lit(START)), inner, F.array(F.lit(END)))
+    return sentences.select(tokens.alias("tokens"), freq.alias("freq"), n.cast("int").alias("n")).where(F.size("tokens") > 2)
+
+
+def escaped(tokens: Column) -> Column:
+    """The tokens that are not null, escaped.
+
+    Lambdas run token by token outside of generated code, so a look at the joined tokens tells
+    first whether any is null or holds what is to be escaped; hardly any sentence does.
+    """
+    joined = F.array_join(tokens, SEP, ESC)
+    plain = (F.instr(joined, ESC) == 0) & (F.octet_length(joined) - F.octet_length(F.replace(joined, F.lit(SEP), F.lit(""))) == F.size(tokens) - 1)
+    return F.when(plain, tokens).otherwise(F.transform(F.filter(tokens, lambda t: t.isNotNull()), escape))
 
 
 def shifted(rows: DataFrame, tokens: str, longest: int, *kept: str) -> DataFrame:

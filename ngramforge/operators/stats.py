@@ -1,6 +1,7 @@
 """Branching entropy, its variation and the autonomy score, from counts.
 
-Undefined is NULL throughout; a NaN would poison the means.
+All tables hold both reading directions, told apart by back.  Undefined is NULL throughout; a NaN
+would poison the means.
 """
 
 from __future__ import annotations
@@ -12,87 +13,82 @@ from ngramforge.functions.keys import MARKERS, first, last, prefix, suffix
 
 #: Deviations below this count as 0: they are rounding errors of equal values.
 LEAST_DEVIATION = 1e-12
+MEASURES = ("entropy", "ev", "autonomy", "centred")
 
 
-def entropy(counts: DataFrame, back: bool = False, terminals: tuple[str, ...] = MARKERS) -> DataFrame:
-    """(k, ngram, entropy) of every n-gram with children in that direction, the empty one included.
+def entropies(counts: DataFrame, terminals: tuple[str, ...] = MARKERS) -> DataFrame:
+    """(back, k, ngram, entropy) of every n-gram with children in a direction, the empty one included.
 
     With N the children's total: log2 N less 1/N times the sum of c log2 c over the children that
     are no terminal; a terminal counts as N different ones.  The sum is one mergeable aggregate, so
-    parents with many children are combined before the shuffle.  Exact zeros matter for the
-    variation and are set, not computed.
+    parents with many children are combined before the shuffle; there is one pass over counts and
+    one shuffle for both directions.  Exact zeros matter for the variation and are set, not
+    computed.
+
+    The keys are never NULL, and known not to be: the table then enters the join with its parents
+    on both sides without a filter on either, so that its shuffle is used for both.
     """
-    c: Column = F.col("back_count" if back else "count")
-    parent, edge = (suffix, first) if back else (prefix, last)
-    rows = counts.where((F.col("k") > 0) & (c > 0)).select((F.col("k") - 1).alias("k"), parent("ngram", "k").alias("ngram"), c.alias("c"), edge(F.col("ngram")).isin(*terminals).alias("t") if terminals else F.lit(False).alias("t"))
-    summed = rows.groupBy("k", "ngram").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("t"), 0.0).otherwise(F.col("c") * F.log2("c"))).alias("q"), F.count("*").alias("children"), F.max("t").alias("ends"))
+    key = lambda c: F.coalesce(c, F.lit(""))
+    ends = lambda edge: edge.isin(*terminals) if terminals else F.lit(False)
+    sides = F.array(
+        F.struct(F.lit(False).alias("back"), key(prefix("ngram", "k")).alias("ngram"), F.col("count").alias("c"), ends(last(F.col("ngram"))).alias("t")),
+        F.struct(F.lit(True).alias("back"), key(suffix("ngram", "k")).alias("ngram"), F.col("back_count").alias("c"), ends(first(F.col("ngram"))).alias("t")),
+    )
+    rows = counts.where("k > 0").select(F.coalesce(F.col("k") - 1, F.lit(0)).alias("k"), F.explode(sides).alias("s")).select("k", "s.*").where("c > 0")
+    rows = rows.withColumn("back", F.coalesce("back", F.lit(False))).withColumn("ngram", key(F.col("ngram")))
+    summed = rows.groupBy("back", "k", "ngram").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("t"), 0.0).otherwise(F.col("c") * F.log2("c"))).alias("q"), F.count("*").alias("children"), F.max("t").alias("ends"))
     zero = (F.col("n") == 1) | ((F.col("children") == 1) & ~F.col("ends"))
-    return summed.select("k", "ngram", F.when(zero, 0.0).otherwise(F.log2("n") - F.col("q") / F.col("n")).alias("entropy"))
+    return summed.select("back", "k", "ngram", F.when(zero, 0.0).otherwise(F.log2("n") - F.col("q") / F.col("n")).alias("entropy"))
+
+
+def direction(table: DataFrame, back: bool = False) -> DataFrame:
+    """The rows of one reading direction."""
+    return table.where(F.col("back") == back).drop("back")
 
 
-def variation(entropies: DataFrame, back: bool = False) -> DataFrame:
-    """(k, ngram, entropy, ev): entropy less the parent's; NULL where both are 0.  The empty n-gram has none."""
-    parent = suffix if back else prefix
-    child = entropies.where("k > 0").withColumn("pk", F.col("k") - 1).withColumn("pg", parent("ngram", "k"))
-    above = entropies.select(F.col("k").alias("pk"), F.col("ngram").alias("pg"), F.col("entropy").alias("h"))
+def variations(entropies_: DataFrame) -> DataFrame:
+    """(back, k, ngram, entropy, ev): entropy less the parent's, NULL where both are 0.
+
+    The empty n-gram stays, without a variation; n-grams whose parent has no entropy go.
+    """
+    above = F.when(F.col("back"), suffix("ngram", "k")).otherwise(prefix("ngram", "k"))
+    # The empty n-gram finds no parent of length -1.
+    child = entropies_.select("back", "k", "ngram", "entropy", (F.col("k") - 1).alias("pk"), above.alias("pg"))
+    parent = entropies_.select(F.col("back").alias("pb"), F.col("k").alias("k_"), F.col("ngram").alias("ngram_"), F.col("entropy").alias("h"))
+    joined = child.join(parent, (F.col("back") == F.col("pb")) & (F.col("pk") == F.col("k_")) & (F.col("pg") == F.col("ngram_")), "left").where("k = 0 OR h IS NOT NULL")
     ev = F.when((F.col("entropy") != 0) | (F.col("h") != 0), F.col("entropy") - F.col("h"))
-    return child.join(above, ["pk", "pg"]).select("k", "ngram", "entropy", ev.alias("ev"))
+    return joined.select("back", "k", "ngram", "entropy", ev.alias("ev"))
 
 
-def norms(variations: DataFrame) -> DataFrame:
-    """(k, mean, stdev) of the variation over the n-grams of each length that have one; a row a length, so it may be broadcast at any input size."""
-    known = variations.where("ev IS NOT NULL").groupBy("k").agg(F.avg("ev").alias("mean"), F.stddev_pop("ev").alias("stdev"))
+def norms(variations_: DataFrame) -> DataFrame:
+    """(back, k, mean, stdev) of the variation over the n-grams of each length that have one; a row for each length and direction, so it may be broadcast at any input size."""
+    known = variations_.where("ev IS NOT NULL").groupBy("back", "k").agg(F.avg("ev").alias("mean"), F.stddev_pop("ev").alias("stdev"))
     return known.withColumn("stdev", F.when(F.col("stdev") < LEAST_DEVIATION, 0.0).otherwise(F.col("stdev")))
 
 
-def norm_vector(variations: DataFrame, depth: int) -> DataFrame:
-    """norms() with a row for each length from 1 to depth; mean and deviation are 0 where no variation is defined."""
-    every = variations.sparkSession.range(1, depth + 1).select(F.col("id").cast("int").alias("k"))
-    return every.join(F.broadcast(norms(variations)), "k", "left").select("k", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("stdev", F.lit(0.0)).alias("stdev"))
+def norm_vector(variations_: DataFrame, depth: int) -> DataFrame:
+    """norms() with a row for each length from 1 to depth and direction; mean and deviation are 0 where no variation is defined."""
+    lengths = variations_.sparkSession.range(1, depth + 1).select(F.col("id").cast("int").alias("k"))
+    every = lengths.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("back"), "k")
+    return every.join(F.broadcast(norms(variations_)), ["back", "k"], "left").select("back", "k", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("stdev", F.lit(0.0)).alias("stdev"))
 
 
-def scored(variations: DataFrame) -> DataFrame:
+def scored(variations_: DataFrame) -> DataFrame:
     """variations with autonomy, (ev - mean) / stdev, and centred, ev - mean; NULL where ev is, autonomy also where stdev is 0."""
     off = F.col("ev") - F.col("mean")
     score = F.when(F.col("stdev") > 0, off / F.col("stdev"))
-    return variations.join(F.broadcast(norms(variations)), "k", "left").select("k", "ngram", "entropy", "ev", score.alias("autonomy"), off.alias("centred"))
-
-
-MEASURES = ("entropy", "ev", "autonomy", "centred")
+    return variations_.join(F.broadcast(norms(variations_)), ["back", "k"], "left").select("back", "k", "ngram", "entropy", "ev", score.alias("autonomy"), off.alias("centred"))
 
 
-def both_entropies(counts: DataFrame) -> DataFrame:
-    """entropy() of both directions, told apart by back, from one pass over counts and one shuffle.
+def averaged(counts: DataFrame) -> DataFrame:
+    """(k, ngram, count, MEASURES): each measure as the mean of both directions, NULL where either is.
 
-    The keys are never NULL, and known not to be: the table then enters the join with its parents
-    on both sides without a filter on either, so that its shuffle is used for both.
+    n-grams without children in either are absent; the empty one is there, with its entropy alone.
+    The counts read forwards come along in the same shuffle.
     """
-    key = lambda c: F.coalesce(c, F.lit(""))
-    sides = F.array(
-        F.struct(F.lit(False).alias("back"), key(prefix("ngram", "k")).alias("ngram"), F.col("count").alias("c"), last(F.col("ngram")).isin(*MARKERS).alias("t")),
-        F.struct(F.lit(True).alias("back"), key(suffix("ngram", "k")).alias("ngram"), F.col("back_count").alias("c"), first(F.col("ngram")).isin(*MARKERS).alias("t")),
-    )
-    rows = counts.where("k > 0").select(F.coalesce(F.col("k") - 1, F.lit(0)).alias("k"), F.explode(sides).alias("s")).select("k", "s.*").where("c > 0")
-    rows = rows.withColumn("back", F.coalesce("back", F.lit(False))).withColumn("ngram", key(F.col("ngram")))
-    summed = rows.groupBy("back", "k", "ngram").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("t"), 0.0).otherwise(F.col("c") * F.log2("c"))).alias("q"), F.count("*").alias("children"), F.max("t").alias("ends"))
-    zero = (F.col("n") == 1) | ((F.col("children") == 1) & ~F.col("ends"))
-    return summed.select("back", "k", "ngram", F.when(zero, 0.0).otherwise(F.log2("n") - F.col("q") / F.col("n")).alias("entropy"))
-
-
-def averaged(counts: DataFrame) -> DataFrame:
-    """(k, ngram, MEASURES): each measure as the mean of both directions, NULL where either is; n-grams without children in either are absent."""
-    entropies = both_entropies(counts)
-    above = F.when(F.col("back"), suffix("ngram", "k")).otherwise(prefix("ngram", "k"))
-    # The empty n-gram finds no parent of length -1.
-    child = entropies.select("back", "k", "ngram", "entropy", (F.col("k") - 1).alias("pk"), above.alias("pg"))
-    parent = entropies.select(F.col("back").alias("pb"), F.col("k").alias("k_"), F.col("ngram").alias("ngram_"), F.col("entropy").alias("h"))
-    joined = child.join(parent, (F.col("back") == F.col("pb")) & (F.col("pk") == F.col("k_")) & (F.col("pg") == F.col("ngram_")))
-    ev = F.when((F.col("entropy") != 0) | (F.col("h") != 0), F.col("entropy") - F.col("h"))
-    variations = joined.select("back", "k", "ngram", "entropy", ev.alias("ev"))
-    known = variations.where("ev IS NOT NULL").groupBy("back", "k").agg(F.avg("ev").alias("mean"), F.stddev_pop("ev").alias("stdev"))
-    off = F.col("ev") - F.col("mean")
-    # A row for each length and direction: small at any input size.
-    scored = variations.join(F.broadcast(known), ["back", "k"], "left").select("back", "k", "ngram", "entropy", "ev", F.when(F.col("stdev") >= LEAST_DEVIATION, off / F.col("stdev")).alias("autonomy"), off.alias("centred"))
+    sides = scored(variations(entropies(counts)))
     side = lambda m, back: F.max(F.when(F.col("back") == back, F.col(m)))
-    means = [((side(m, False) + side(m, True)) / 2).alias(m) for m in MEASURES]
-    return scored.groupBy("k", "ngram").agg(F.count("*").alias("sides"), *means).where("sides = 2").select("k", "ngram", *MEASURES)
+    means: list[Column] = [((side(m, False) + side(m, True)) / 2).alias(m) for m in MEASURES]
+    own = counts.select(F.lit(None).cast("boolean").alias("back"), "k", "ngram", *(F.lit(None).cast("double").alias(m) for m in MEASURES), "count")
+    rows = sides.withColumn("count", F.lit(None).cast("long")).unionByName(own)
+    return rows.groupBy("k", "ngram").agg(F.count("back").alias("sides"), F.max("count").alias("count"), *means).where("sides = 2").select("k", "ngram", "count", *MEASURES)

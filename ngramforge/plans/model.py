@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ngramforge.functions import keys
+from ngramforge.functions.names import column, unused
 from ngramforge.operators import counts as C
 from ngramforge.operators import stats as S
 
@@ -70,42 +71,36 @@ class NgramModel:
     def depth(self) -> int:
         return max(self.default_ngram_length, C.max_depth(self.counts).first()[0])
 
-    @cached_property
-    def forwards(self) -> DataFrame:
-        return self._direction(False)
-
-    @cached_property
-    def backwards(self) -> DataFrame:
-        return self._direction(True)
-
-    def _direction(self, back: bool) -> DataFrame:
-        return S.scored(S.variation(S.entropy(self.counts, back), back))
-
     def normalisation(self) -> DataFrame:
         """(direction, k, mean, stdev)."""
-        sides = [S.norm_vector(S.variation(S.entropy(self.counts, back), back), self.depth).select(F.lit(name).alias("direction"), "k", "mean", "stdev") for name, back in (("forward", False), ("backward", True))]
-        return sides[0].unionByName(sides[1])
+        norms = S.norm_vector(S.variations(S.entropies(self.counts)), self.depth)
+        return norms.select(F.when(F.col("back"), "backward").otherwise("forward").alias("direction"), "k", "mean", "stdev")
 
     @cached_property
-    def scores(self) -> DataFrame:
-        """(k, ngram, entropy, ev, autonomy, centred) of n-grams with children in both directions."""
+    def measures(self) -> DataFrame:
+        """(k, ngram, count, entropy, ev, autonomy, centred) of n-grams with children in both directions, the empty one included."""
         return S.averaged(self.counts)
 
+    @property
+    def scores(self) -> DataFrame:
+        """measures without the empty n-gram."""
+        return self.measures.where("k > 0")
+
     def root_entropy(self) -> DataFrame:
         """(entropy) of the empty n-gram, the mean of both directions."""
-        sides = [S.entropy(self.counts, back).where("k = 0").select(F.col("entropy").alias(n)) for n, back in (("f", False), ("b", True))]
-        return sides[0].crossJoin(sides[1]).select(((F.col("f") + F.col("b")) / 2).alias("entropy"))
+        found = S.entropies(self.counts.where("k = 1")).where("k = 0").agg(F.avg("entropy").alias("entropy"), F.count("*").alias("sides"))
+        return found.where("sides = 2").select("entropy")
 
     # Lookups
 
     def query(self, ngrams: DataFrame) -> DataFrame:
         """ngrams (ngram array<string>) with count, entropy, ev, autonomy and centred; an n-gram that is not known has count 0 and NULLs."""
-        asked = ngrams.withColumn("_k", F.size("ngram")).withColumn("_g", keys.key(F.col("ngram")))
-        known = self.counts.select(F.col("k").alias("_k"), F.col("ngram").alias("_g"), "count")
-        root = self.root_entropy().select(F.lit(0).alias("k"), F.lit("").alias("ngram"), "entropy", *(F.lit(None).cast("double").alias(m) for m in ("ev", "autonomy", "centred")))
-        scores = self.scores.unionByName(root).select(F.col("k").alias("_k"), F.col("ngram").alias("_g"), *S.MEASURES)
-        out = asked.join(known, ["_k", "_g"], "left").join(scores, ["_k", "_g"], "left")
-        return out.withColumn("count", F.coalesce("count", F.lit(0))).drop("_k", "_g")
+        k, g, node = unused(ngrams, "_k", "_g", "_node")
+        asked = ngrams.withColumn(k, F.size("ngram")).withColumn(g, keys.key(F.col("ngram")))
+        known = self.counts.where("count > 0").select(F.col("k").alias(k), F.col("ngram").alias(g), F.col("count").alias(node))
+        scores = self.measures.select(F.col("k").alias(k), F.col("ngram").alias(g), *S.MEASURES)
+        out = asked.join(known, [k, g], "left").join(scores, [k, g], "left")
+        return out.withColumn("count", F.coalesce(node, F.lit(0))).select(*map(column, ngrams.columns), "count", *S.MEASURES)
 
     def _one(self, ngram: Sequence[str], measure: str) -> float | None:
         row = self.spark.createDataFrame([(list(ngram),)], "ngram array<string>")
@@ -130,7 +125,7 @@ class NgramModel:
 
     def lexicon(self, voc: DataFrame | None = None) -> DataFrame:
         """(ngram array<string>, autonomy, count) of the n-grams with an autonomy, of voc (ngram array<string>) where one is given."""
-        known = self.scores.where("autonomy IS NOT NULL").join(self.counts.where("count > 0").select("k", "ngram", "count"), ["k", "ngram"])
+        known = self.measures.where("autonomy IS NOT NULL AND count > 0")
         if voc is not None:
             asked = voc.select(F.size("ngram").alias("k"), keys.key(F.col("ngram")).alias("ngram")).distinct()
             known = known.join(asked, ["k", "ngram"], "left_semi")

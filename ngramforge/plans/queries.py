@@ -41,7 +41,7 @@ def _query(function: Query) -> Query:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return corpora.table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,12 +207,12 @@ def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def fwd_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.entropy(_model(spark, sf_dir).counts).select("k", _name(), _rounded("entropy"))
+    return S.direction(S.entropies(_model(spark, sf_dir).counts)).select("k", _name(), _rounded("entropy"))
 
 
 @_query
 def bwd_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.entropy(_model(spark, sf_dir).counts, back=True).select("k", _name(), _rounded("entropy"))
+    return S.direction(S.entropies(_model(spark, sf_dir).counts), back=True).select("k", _name(), _rounded("entropy"))
 
 
 @_query
@@ -273,7 +273,7 @@ def turn_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the model of documents says of all slices of benchmark's lines, unknown ones included."""
     asked = lexicon.candidates(_items(spark, sf_dir), LENGTH)
-    found = _model(spark, sf_dir).query(asked)
+    found = _model(spark, sf_dir).persist().query(asked)
     return found.select(F.array_join("ngram", " ").alias("ngram"), "count", *(_rounded(m) for m in S.MEASURES))
 
 

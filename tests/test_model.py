@@ -104,12 +104,12 @@ def test_bare_store(spark):
     counts = C.count_ngrams(rows)
     found = {(r.k, r.ngram): r["count"] for r in counts.collect()}
     assert found[2, keys.literal(W("1 2"))] == 3 and found[0, ""] == 4
-    entropy = {r.ngram: r.entropy for r in S.entropy(counts, terminals=()).collect()}
+    entropy = {r.ngram: r.entropy for r in S.direction(S.entropies(counts, terminals=())).collect()}
     assert near(entropy[keys.literal(W("1 2"))], math.log2(3)) and entropy[""] == 0.0
-    scored = {r.ngram: r.autonomy for r in S.scored(S.variation(S.entropy(counts, terminals=()))).collect()}
+    scored = {r.ngram: r.autonomy for r in S.direction(S.scored(S.variations(S.entropies(counts, terminals=())))).collect()}
     assert near(scored[keys.literal(W("1 2"))], 1.0)
     two = C.count_ngrams(rows.limit(2))
-    assert [(r["mean"], r.stdev) for r in S.norm_vector(S.variation(S.entropy(two, terminals=())), 3).orderBy("k").collect()] == [(0, 0), (1, 0), (0, 0)]
+    assert [(r["mean"], r.stdev) for r in S.direction(S.norm_vector(S.variations(S.entropies(two, terminals=())), 3)).orderBy("k").collect()] == [(0, 0), (1, 0), (0, 0)]
     assert C.max_depth(counts).first()[0] == 3
     empty = C.count_ngrams(spark.createDataFrame([([],), ([],)], "ngram array<string>"))
     assert empty.count() == 0 and C.max_depth(empty.select(*C.COUNTS)).first()[0] == 0

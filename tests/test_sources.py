@@ -1,5 +1,7 @@
 """Readers, writers, streams and the command line."""
 
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,47 @@ def test_limits(spark, tmp_path):
     assert [r.tokens for r in corpora.sentences_of(corpora.lines(spark, str(tmp_path / "a.txt"))).collect()] == [["x", "y"], ["z"], [], ["q"]]
 
 
+def test_numbers_follow_files_and_places(spark, tmp_path):
+    want = []
+    for name, n in (("b", 900), ("a", 40), ("c", 7)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" for i in range(n)))
+    for name, n in (("a", 40), ("b", 900), ("c", 7)):
+        want += [f"{name}{i}" for i in range(n)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        got = corpora.numbered_lines(spark, str(tmp_path)).orderBy("line").collect()
+        first = sorted(r.value for r in corpora.lines(spark, str(tmp_path), 43).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [tuple(r) for r in got] == list(enumerate(want)) and first == sorted(want[:43])
+    rows = spark.createDataFrame([(x,) for x in want], "value string").repartition(5)
+    assert sorted(r.line for r in corpora.numbered(rows).collect()) == list(range(len(want)))
+
+
+def test_small_tables_are_dealt_out(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    out = corpora.table(spark, str(tmp_path / "one"))
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(r.id for r in out.collect()) == list(range(100))
+
+
+def test_standard_input(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli.sys, "stdin", io.StringIO("\n".join(SENTENCES)))
+    cli.main(["lexicon", "-", str(tmp_path / "words"), "-o", "2", "-s", "+"], spark)
+    assert any(x.startswith("black+cat\t") for x in read(tmp_path / "words"))
+    folder = corpora.piped(spark, io.StringIO("a\nb\n\nc"), str(tmp_path / "piped"), 2)
+    assert [tuple(r) for r in corpora.numbered_lines(spark, folder).orderBy("line").collect()] == [(0, "a"), (1, "b"), (2, ""), (3, "c")]
+    assert corpora.numbered_lines(spark, corpora.piped(spark, [], str(tmp_path / "nothing"))).count() == 0
+
+
+def test_vocabulary_of_a_pruned_model(spark, tmp_path):
+    corpus = tmp_path / "corpus.txt"
+    corpus.write_text("我爱北京\n北京很大\n他爱北京\n北京好\n北京\n" * 3)
+    cli.main(["train", str(corpus), "-m", str(tmp_path / "voc"), "-l", "3", "-p", "1", "-L", "0", "--vocabulary", "-s", " "], spark)
+    got = {x.split("\t")[0]: int(x.split("\t")[2]) for x in read(tmp_path / "voc")}
+    assert got["北 京"] == 15
+
+
 def test_upsert(spark):
     old, new = (spark.createDataFrame(x, "ngram string, count long") for x in ([("a", 1), ("b", 2)], [("b", 3), ("c", 4)]))
     assert sorted(map(tuple, models.merge_counts(old, new, ["ngram"]).collect())) == [("a", 1), ("b", 5), ("c", 4)]
