@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,14 +65,15 @@ class ByteBPE:
         if len(self.known) > CACHE_WORDS:
             self._forget()
         known = self.known
-        slots = np.fromiter((known.get(x, -1) for x in pieces), np.int64, len(pieces))
+        slots = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = [pieces[i] for i in np.flatnonzero(slots < 0)]
         if not new:
             return slots
-        joint = [x for x in new if len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace()]
-        alone = [x for x in new if not (len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace())]
+        # Only the first character is white space.
+        led = [len(x) > 1 and x[0] == " " and len(x.strip()) == len(x) - 1 for x in new]
+        joint, alone = list(compress(new, led)), [x for x, a in zip(new, led, strict=True) if not a]
         ids = np.frombuffer(self.base._core_bpe.encode_to_tiktoken_buffer("".join(joint), set()), np.uint32).astype(np.int32)
-        far = np.cumsum(np.fromiter((len(x.encode()) for x in joint), np.int64, len(joint)))
+        far = np.cumsum(np.fromiter(map(len, map(str.encode, joint)), np.int64, len(joint)))
         ends = np.searchsorted(np.cumsum(self.size[ids]), far, side="right")
         rest = [self.flat(x) for x in alone]
         ends = np.concatenate((ends, len(ids) + np.cumsum([len(x) for x in rest], dtype=np.int64))).astype(np.int64)
@@ -85,7 +87,7 @@ class ByteBPE:
         self.flat_ids[base : base + len(ids)] = ids
         known.update(zip(joint + alone, range(self.used, self.used + more), strict=True))
         self.used += more
-        return np.fromiter((known[x] for x in pieces), np.int64, len(pieces))
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, text: str, leaf: int = LEAF_CHARS) -> np.ndarray:
         """Token ids of a text, by halving."""

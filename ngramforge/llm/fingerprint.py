@@ -94,6 +94,9 @@ def signatures(offsets: np.ndarray, hashes: np.ndarray, samples: int, seed: int)
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, seed: int = 1) -> DataFrame:
     """Signature of each document; a term's weight is how often it stands in the text.
 
+    The draws are rounded to single precision, which may decide between terms whose values differ
+    by less: a sample in a thousand at most.
+
     Returns (doc_id, n_terms, signature array<long>), a row for each row of docs; nothing is
     shuffled.  A null text gives nulls; a text without words has an empty signature; a null doc_id
     stays; repeated rows have equal signatures; an empty table gives no rows; further columns are

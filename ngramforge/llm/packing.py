@@ -15,7 +15,6 @@ Documents are packed by shards of SHARD_DOCS on average, whatever their ids are
 
 from __future__ import annotations
 
-import re
 from collections import deque
 from collections.abc import Iterator
 
@@ -36,40 +35,74 @@ INNER_CUT = 256
 #: Mean number of documents that are packed together; shards are independent.
 SHARD_DOCS = 1024
 
-#: White space after a full stop, the place after one of Chinese, or line breaks.
-_SENTENCE = re.compile(rb"(?<=[.!?])\s+|\n\s*|(?<=\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)\s*|(?<=\xe2\x80\xa6)\s+")
-
-
-def units(text: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, end in the text, penalty of a cut there) of each sentence or piece of one.
-
-    ends: where each token of the text ends.  A sentence ends with the last token that ends a
-    character in it, as a blank may be the next word's; a piece has length tokens, or less by those
-    of a character that would be cut.
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".!?"]] = True
+#: Full stops of Chinese end a sentence by themselves, the ellipsis where white space follows.
+_WIDE, _DOTS = ("。", "！", "？"), ("…",)
+
+
+def _behind(data: np.ndarray, at: np.ndarray, marks: tuple[str, ...]) -> np.ndarray:
+    """Whether one of the marks, of three bytes each, ends before each place."""
+    out = np.zeros(len(at), bool)
+    some = np.flatnonzero(at >= 3)
+    for mark in marks:
+        a, b, c = mark.encode()
+        out[some] |= (data[at[some] - 3] == a) & (data[at[some] - 2] == b) & (data[at[some] - 1] == c)
+    return out
+
+
+def sentence_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places behind the sentences of texts of UTF-8 that follow each other: behind white space that holds a line break or follows a full stop, and behind a full stop of Chinese."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    border = np.zeros(len(data) + 1, bool)
+    border[offsets] = True
+    blank = _BLANK[data]
+    starts = np.flatnonzero(blank & (~np.append(False, blank[:-1]) | border[:-1]))
+    stops = np.flatnonzero(blank & (~np.append(blank[1:], False) | border[1:])) + 1
+    breaks = np.add.reduceat((data == 10).astype(np.int32), starts) > 0 if len(starts) else np.zeros(0, bool)
+    marked = ~border[starts] & (_STOP[data[starts - 1]] | _behind(data, starts, _WIDE + _DOTS))
+    # The last byte of each mark is no start of a character, so few places are looked at twice.
+    wide = np.flatnonzero(np.isin(data, np.array([m.encode()[2] for m in _WIDE], np.uint8)) & ~np.append(blank[1:] & ~border[1:-1], False)) + 1
+    return np.sort(np.concatenate((stops[breaks | marked], wide[_behind(data, wide, _WIDE)])))
+
+
+def units_of(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray, held: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, tokens, end in the text, penalty of a cut there) of each sentence or piece of one of many texts, which follow each other.
+
+    offsets: where each text starts, and the end; ends: where each token ends; held: the tokens
+    before each text, and in all.  A sentence ends with the last token that ends a character in it,
+    as a blank may be the next word's; a piece has length tokens, or less by those of a character
+    that would be cut.
     """
-    data = np.frombuffer(text, np.uint8)
     whole = np.append((data[ends[:-1]] & 0xC0) != 0x80, True) if len(ends) else np.zeros(0, bool)
     # The last token, by number from 1, of each prefix that ends with a whole character.
     safe = np.maximum.accumulate(np.where(np.append(True, whole), np.arange(len(ends) + 1), 0))
-    stops = safe[np.searchsorted(ends, np.fromiter((m.end() for m in _SENTENCE.finditer(text)), np.int64), side="right")]
-    stops = np.unique(np.append(stops, len(ends)))
-    stops = stops[stops > 0]
+    stops = np.unique(np.concatenate((held, safe[np.searchsorted(ends, sentence_ends(data, offsets), side="right")])))
     sizes = np.diff(stops, prepend=0)
+    stops, sizes = stops[sizes > 0], sizes[sizes > 0]
     costs = np.full(len(stops), SENTENCE_CUT)
-    if (sizes > length).any():
-        pieces, cost = [], []
-        at = 0
-        for stop in stops.tolist():
-            while stop - at > length:
-                at = int(safe[at + length])
-                pieces.append(at), cost.append(INNER_CUT)
-            at = stop
-            pieces.append(stop), cost.append(SENTENCE_CUT)
-        stops, costs = np.array(pieces), np.array(cost)
+    long = np.flatnonzero(sizes > length)
+    if len(long):
+        pieces = []
+        for stop, size in zip(stops[long].tolist(), sizes[long].tolist(), strict=True):
+            at = int(safe[stop - size + length])
+            while at < stop:
+                pieces.append(at)
+                at = int(safe[at + length]) if stop - at > length else stop
+        stops = np.sort(np.concatenate((stops, np.array(pieces, np.int64))))
+        costs = np.where(np.isin(stops, pieces), INNER_CUT, SENTENCE_CUT)
         sizes = np.diff(stops, prepend=0)
-    if len(costs):
-        costs[-1] = 0
-    return sizes, ends[stops - 1], costs
+    costs[np.isin(stops, held)] = 0
+    text = np.searchsorted(held, stops, side="left") - 1
+    return text, sizes, ends[stops - 1] - offsets[text] if len(stops) else stops, costs
+
+
+def units(text: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """units_of() one text."""
+    return units_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), ends, np.array([0, len(ends)]), length)[1:]
 
 
 def cuts(sizes: list[int], penalties: list[int], length: int) -> list[int]:
@@ -107,17 +140,19 @@ class Shard:
         self.number, self.length = number, length
         self.ids: list[int | None] = []
         self.texts: list[bytes] = []
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, doc_id: int | None, text: bytes, ends: np.ndarray) -> None:
-        self.ids.append(doc_id), self.texts.append(text), self.parts.append(units(text, ends, self.length))
+    def add(self, ids: list[int | None], texts: list[bytes], owner: np.ndarray, sizes: np.ndarray, ends: np.ndarray, costs: np.ndarray) -> None:
+        """More documents, with their units; owner: the number of each unit's document among them."""
+        self.parts.append((owner + len(self.ids), sizes, ends, costs))
+        self.ids += ids
+        self.texts += texts
 
     def windows(self) -> pa.RecordBatch:
         out: dict[str, list] = {c: [] for c in _ARROW.names}
         if self.ids:
-            sizes, ends, costs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-            count = [len(x[0]) for x in self.parts]
-            owner = np.repeat(np.arange(len(count)), count).tolist()
+            owner, sizes, ends, costs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            owner = owner.tolist()
             total, ends, at = np.append(0, np.cumsum(sizes)), ends.tolist(), 0
             for number, stop in enumerate(cuts(sizes.tolist(), costs.tolist(), self.length)):
                 ids, texts, i = [], [], at
@@ -155,16 +190,20 @@ def pack(docs: DataFrame, length: int = LENGTH, shard_docs: int = SHARD_DOCS, ra
         bpe, numbers = coder(ranks.value), Numbers()
         shard = None
         for batch in slices(batches, limit=2 * SLICE_BYTES):
-            offsets, ids = bpe.encode_all(batch.column("text"))
-            far = np.append(0, np.cumsum(bpe.size[ids]))
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-            for k, (number, doc_id) in enumerate(zip(numbers.of(batch).tolist(), batch.column("doc_id").to_pylist(), strict=True)):
-                if shard is None or number != shard.number:
+            flat = batch.column("text").cast(pa.large_binary())
+            held, ids = bpe.encode_all(batch.column("text"))
+            begin = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+            data = np.frombuffer(flat.buffers()[2], np.uint8)[begin[0] : begin[-1]]
+            owner, *rest = units_of(data, begin - begin[0], np.cumsum(bpe.size[ids]), held, length)
+            texts, doc_ids, number = flat.to_pylist(), batch.column("doc_id").to_pylist(), numbers.of(batch)
+            edges = np.concatenate(([0], np.flatnonzero(number[1:] != number[:-1]) + 1, [len(number)]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if shard is None or number[a] != shard.number:
                     if shard:
                         yield shard.windows()
-                    shard = Shard(number, length)
-                a, b = offsets[k], offsets[k + 1]
-                shard.add(doc_id, texts[k], far[a + 1 : b + 1] - far[a])
+                    shard = Shard(int(number[a]), length)
+                lo, hi = np.searchsorted(owner, [a, b])
+                shard.add(doc_ids[a:b], texts[a:b], owner[lo:hi] - a, *(x[lo:hi] for x in rest))
         if shard:
             yield shard.windows()
 

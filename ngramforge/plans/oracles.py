@@ -1,6 +1,6 @@
 """DuckDB SQL for the rows of the queries in ngramforge.plans.queries.
 
-Entropies are summed over the children with the parent's total from a window, not by the rewritten
+Entropies are summed over the children with the parent's total from a join, not by the rewritten
 sum that the engine aggregates; undefined is NULL in both.
 """
 
@@ -29,28 +29,35 @@ def _r(value: str) -> str:
 
 
 def counted(sentences: str, length: int = LENGTH) -> str:
-    """Tables sent, pad and cnt (k, g, c, bc, p, s, f, l): the n-gram, its counts, all but its last and its first token, its first and last one.
+    """Tables pad and cnt (k, g, c, bc, p, s, pp, ss, f, l): the n-gram, its counts, all but its last and its first token, all but two of each side, its first and last one.
 
     n-grams are strings of their tokens, of which none holds the separator.
     """
     n = "n" if " AS n " in sentences else f"{length} AS n"
+    ahead = ", ".join(f"unnest(t[{k}:]) AS t{k}" for k in range(2, max(length, 2) + 1))
+
+    def gram(a: int, b: int) -> str:
+        return f" || {SEP} || ".join(f"t{k}" for k in range(a, b + 1)) or "''"
+
+    each = " UNION ALL ".join(
+        f"SELECT {k} AS k, {gram(1, k)} AS g, {'CASE WHEN t2 IS NULL THEN 0 ELSE freq END' if k == 1 else 'freq'} AS fw, {'CASE WHEN i = 1 THEN 0 ELSE freq END' if k == 1 else 'freq'} AS bw, "
+        f"{gram(1, k - 1)} AS p, {gram(2, k)} AS s, {gram(1, k - 2)} AS pp, {gram(3, k)} AS ss, t1 AS f, t{k} AS l FROM tok WHERE t{k} IS NOT NULL AND {k} <= n"
+        for k in range(1, length + 1)
+    )
     return f"""
-sent AS (SELECT tokens, freq, {n} FROM ({sentences})),
-pad AS MATERIALIZED (SELECT list_concat([{START}], tokens, [{END}]) AS t, freq, n FROM sent WHERE len(tokens) > 0),
-win AS (SELECT k, array_to_string(t[i : i + k - 1], {SEP}) AS g, CASE WHEN k = 1 AND i = len(t) THEN 0 ELSE freq END AS f, CASE WHEN k = 1 AND i = 1 THEN 0 ELSE freq END AS b
-        FROM (SELECT t, freq, n, unnest(range(1, len(t) + 1)) AS i FROM pad), range(1, {length} + 1) AS lengths(k) WHERE k <= n AND i + k - 1 <= len(t)),
-grp AS (SELECT k::INT AS k, g, string_split(g, {SEP}) AS w, sum(f)::BIGINT AS c, sum(b)::BIGINT AS bc FROM win GROUP BY k, g),
-cnt AS MATERIALIZED (SELECT k, g, c, bc, array_to_string(w[1 : k - 1], {SEP}) AS p, array_to_string(w[2 : k], {SEP}) AS s, w[1] AS f, w[k] AS l FROM grp
-        UNION ALL SELECT 0, '', sum(freq * (len(t) - 1))::BIGINT, sum(freq * (len(t) - 1))::BIGINT, NULL, NULL, NULL, NULL FROM pad HAVING count(*) > 0)"""
+pad AS MATERIALIZED (SELECT list_concat([{START}], tokens, [{END}]) AS t, freq, {n} FROM ({sentences}) WHERE len(tokens) > 0),
+tok AS MATERIALIZED (SELECT unnest(t) AS t1, {ahead}, generate_subscripts(t, 1) AS i, freq, n FROM pad),
+win AS ({each}),
+cnt AS MATERIALIZED (SELECT k::INT AS k, g, sum(fw)::BIGINT AS c, sum(bw)::BIGINT AS bc, any_value(p) AS p, any_value(s) AS s, any_value(pp) AS pp, any_value(ss) AS ss, any_value(f) AS f, any_value(l) AS l FROM win GROUP BY k, g
+        UNION ALL SELECT 0, '', sum(freq * (len(t) - 1))::BIGINT, sum(freq * (len(t) - 1))::BIGINT, NULL, NULL, NULL, NULL, NULL, NULL FROM pad HAVING count(*) > 0)"""
 
 
 #: Tables h (d, k, g, h, q), v (d, k, g, h, ev), nrm (d, k, m, s) and avg2 (k, g, entropy, ev, autonomy, centred) over cnt.
 MEASURED = f"""
-kid AS (SELECT 'forward' AS d, k - 1 AS k, p AS g, c, l IN ({START}, {END}) AS t FROM cnt WHERE k > 0 AND c > 0
-        UNION ALL SELECT 'backward', k - 1, s, bc, f IN ({START}, {END}) FROM cnt WHERE k > 0 AND bc > 0),
-tot AS (SELECT *, (sum(c) OVER (PARTITION BY d, k, g))::DOUBLE AS n FROM kid),
-h AS MATERIALIZED (SELECT d, k, g, sum(CASE WHEN t THEN c / n * log2(n) ELSE -c / n * log2(c / n) END) + 0.0 AS h,
-      CASE WHEN d = 'forward' THEN array_to_string(string_split(g, {SEP})[1 : k - 1], {SEP}) ELSE array_to_string(string_split(g, {SEP})[2 : k], {SEP}) END AS q FROM tot GROUP BY d, k, g),
+kid AS (SELECT 'forward' AS d, k - 1 AS k, p AS g, pp AS q, c, l IN ({START}, {END}) AS t FROM cnt WHERE k > 0 AND c > 0
+        UNION ALL SELECT 'backward', k - 1, s, ss, bc, f IN ({START}, {END}) FROM cnt WHERE k > 0 AND bc > 0),
+all_of AS (SELECT d, k, g, sum(c)::DOUBLE AS n FROM kid GROUP BY d, k, g),
+h AS MATERIALIZED (SELECT d, k, g, any_value(q) AS q, sum(CASE WHEN t THEN c / n * log2(n) ELSE -c / n * log2(c / n) END) + 0.0 AS h FROM kid JOIN all_of USING (d, k, g) GROUP BY d, k, g),
 v AS MATERIALIZED (SELECT x.d, x.k, x.g, x.h, CASE WHEN x.h <> 0 OR y.h <> 0 THEN x.h - y.h END AS ev FROM h x JOIN h y ON x.d = y.d AND y.k = x.k - 1 AND y.g = x.q),
 nrm AS (SELECT d, k, avg(ev) AS m, CASE WHEN stddev_pop(ev) < 1e-12 THEN 0 ELSE stddev_pop(ev) END AS s FROM v WHERE ev IS NOT NULL GROUP BY d, k),
 sco AS (SELECT v.*, CASE WHEN s > 0 THEN (ev - m) / s END AS a, ev - m AS ce FROM v LEFT JOIN nrm USING (d, k)),
