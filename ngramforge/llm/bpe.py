@@ -48,12 +48,13 @@ class ByteBPE:
         for token, rank in self.ranks.items():
             self.bytes[rank] = token
         self.size = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
-        self._forget()
+        self.forget()
 
     def flat(self, text: str) -> np.ndarray:
         return np.array(self.base.encode_ordinary(text), np.int32)
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drops the words remembered."""
         self.known: dict[str, int] = {}
         self.ends, self.flat_ids, self.used = np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
 
@@ -63,7 +64,7 @@ class ByteBPE:
         New pieces that a blank starts are encoded in one go, the others alone.
         """
         if len(self.known) > CACHE_WORDS:
-            self._forget()
+            self.forget()
         known = self.known
         slots = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = [pieces[i] for i in np.flatnonzero(slots < 0)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -86,6 +87,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = stop
 
 
+def give_back() -> None:
+    """Returns memory that Arrow and the allocator keep for later to the system: a Python worker outlives its task, and the tasks of later stages share the executor with it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> U64(30))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ngramforge.llm.common import column, slices, table, unused
+from ngramforge.llm.common import SLICE_BYTES, column, give_back, slices, table, unused
 
 FAMILIES = {"germanic": ("de", "en", "nl", "sv", "da"), "romance": ("es", "fr", "it", "pt", "ro")}
 #: Labelled rows of each language that the machines are fitted to: bounds the sample at any input size.
@@ -181,6 +181,7 @@ def sample(docs: DataFrame, label: str, rows: int) -> DataFrame:
                 [part.column("label"), part.column("h"), pa.array([i.tobytes() for i in some], pa.binary()), pa.array([v[i].tobytes() for v, i in zip(x, some, strict=True)], pa.binary())],
                 names=["label", "h", "buckets", "values"],
             )
+        give_back()
 
     # A row for each language, so it may be broadcast at any input size.
     chosen = known.join(F.broadcast(edge), "label").where(F.col("h") <= F.col("top")).select("label", "h", "text")
@@ -216,12 +217,14 @@ def identify(docs: DataFrame, model: Model, letters: float = LETTERS, margin: fl
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        # The running sums take some 30 bytes for each one of the text.
+        for part in slices(batches, limit=SLICE_BYTES // 4):
             family, lang, sure, share = shared.value.predict(part.column("text").fill_null(""))
             some = share > 0
             ok = (share >= letters) & (sure >= margin) & some
             extra = [pa.array(np.where(some, family, None), pa.string()), pa.array(np.where(some, lang, None), pa.string()), pa.array(sure), pa.array(ok)]
             yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, *names])
+        give_back()
 
     schema = T.StructType([*kept.schema.fields, *(T.StructField(c, k) for c, k in zip(names, (T.StringType(), T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
     return kept.mapInArrow(run, schema)

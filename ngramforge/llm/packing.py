@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ngramforge.llm.bpe import RANKS, coder, load_ranks
-from ngramforge.llm.common import SLICE_BYTES, slices, table
+from ngramforge.llm.common import give_back, slices, table
 from ngramforge.llm.ranges import Numbers, in_order
 
 #: Tokens of a window.
@@ -189,7 +189,7 @@ def pack(docs: DataFrame, length: int = LENGTH, shard_docs: int = SHARD_DOCS, ra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, numbers = coder(ranks.value), Numbers()
         shard = None
-        for batch in slices(batches, limit=2 * SLICE_BYTES):
+        for batch in slices(batches):
             flat = batch.column("text").cast(pa.large_binary())
             held, ids = bpe.encode_all(batch.column("text"))
             begin = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
@@ -206,6 +206,9 @@ def pack(docs: DataFrame, length: int = LENGTH, shard_docs: int = SHARD_DOCS, ra
                 shard.add(doc_ids[a:b], texts[a:b], owner[lo:hi] - a, *(x[lo:hi] for x in rest))
         if shard:
             yield shard.windows()
+        shard = None
+        bpe.forget()
+        give_back()
 
     return in_order(docs.where(F.col("text").rlike(r"\S")), shard_docs).mapInArrow(run, SCHEMA)
 
