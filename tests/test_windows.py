@@ -56,3 +56,12 @@ def test_measures_of_windows_are_those_of_counts(spark, sf_dir, length):
             assert a.keys() == b.keys()
             assert all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
         assert "hashpartitioning(back" not in _plan(model.measures)
+
+
+def test_lookups_move_only_what_may_be_asked_for(spark, tmp_path):
+    NgramModel.fit(spark.createDataFrame([([f"w{i}", f"w{i + 1}"],) for i in range(20_000)], "tokens array<string>"), 2).save(str(tmp_path / "model"))
+    model = NgramModel.load(spark, str(tmp_path / "model"))
+    spark.createDataFrame([(["w1"],), (["w1", "w2"],), (["none"],)], "ngram array<string>").write.parquet(str(tmp_path / "asked"))
+    found = model.query(spark.read.parquet(str(tmp_path / "asked")))
+    assert "LeftSemi" in _plan(found)
+    assert sorted((tuple(r.ngram), r["count"]) for r in found.collect()) == [(("none",), 0), (("w1",), 2), (("w1", "w2"), 1)]
