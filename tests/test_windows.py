@@ -1,7 +1,10 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ngramforge.operators import counts as C
+from ngramforge.operators import lexicon
+from ngramforge.operators import windows as W
 from ngramforge.plans.model import NgramModel
 from ngramforge.sources import corpora
 
@@ -65,3 +68,29 @@ def test_lookups_move_only_what_may_be_asked_for(spark, tmp_path):
     found = model.query(spark.read.parquet(str(tmp_path / "asked")))
     assert "LeftSemi" in _plan(found)
     assert sorted((tuple(r.ngram), r["count"]) for r in found.collect()) == [(("none",), 0), (("w1",), 2), (("w1", "w2"), 1)]
+
+
+def test_blocks_leave_known_tokens_out():
+    words = [f"word{i:05d}" for i in range(2_000)]
+    sentences = [[words[(i * j) % 2_000] for j in range(1, 30)] for i in range(1, 400)]
+    rows = pa.RecordBatch.from_arrays([pa.array(sentences), pa.array([1] * 399, pa.int64()), pa.array([3] * 399, pa.int32())], names=["tokens", "freq", "n"])
+    sizes, tokens = [], []
+    for known in (pa.array([], pa.string()), pa.array(words[:1_900])):
+        blocks = list(W._windows(3, 64, known)(iter([rows])))
+        sizes.append(sum(len(data) for b in blocks for data in b.column("data").to_pylist()))
+        tokens.append({*W._received(iter(blocks), known)[0].to_pylist()})
+    assert sizes[1] < 0.7 * sizes[0]
+    assert tokens[1] == tokens[0] | {*words[:1_900]}
+
+
+def test_mean_entropies_and_own_slices_need_no_further_shuffle(spark, sf_dir):
+    few = corpora.lines_of(corpora.table(spark, f"{sf_dir}/documents.parquet")).where("doc_id < 40").select("tokens")
+    model = NgramModel.fit(few, 3)
+    entropies = model.mean_entropies()
+    assert _plan(entropies).count("MapInArrow") < _plan(model.scores).count("MapInArrow")
+    a, b = ({(r.k, r.ngram): r.entropy for r in x.collect()} for x in (entropies, model.scores))
+    assert a == pytest.approx(b, abs=1e-9)
+    own, asked = model.lexicon(longest=2, markers=False), model.lexicon(lexicon.candidates(few, 2))
+    assert _plan(own).count("Exchange") < _plan(asked).count("Exchange")
+    a, b = ({tuple(r.ngram): r["count"] for r in x.collect()} for x in (own, asked))
+    assert a == b
