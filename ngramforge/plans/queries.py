@@ -219,7 +219,7 @@ def bwd_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def entropy_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _model(spark, sf_dir).scores.select("k", _name(), _rounded("entropy"))
+    return _model(spark, sf_dir).mean_entropies().select("k", _name(), _rounded("entropy"))
 
 
 @_query
@@ -282,8 +282,7 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def lexicon_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct slices of the corpus with their autonomy, as the lexicon of its own model."""
-    lines = _lines(spark, sf_dir)
-    found = NgramModel.fit(lines, LENGTH).lexicon(lexicon.candidates(lines, ORDER))
+    found = _model(spark, sf_dir).lexicon(longest=ORDER, markers=False)
     return found.select(F.array_join("ngram", " ").alias("ngram"), _rounded("autonomy"), "count")
 
 
