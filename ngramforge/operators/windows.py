@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -307,8 +307,8 @@ def _windows(length: int, parts: int, known: pa.Array, front: bool = False, freq
 class _Part:
     """The windows of one part, sorted: columns t (the first token's first, the one in front last if it is there) and times."""
 
-    def __init__(self, batches: Batches, length: int, known: pa.Array, front: bool = False):
-        self.tokens, columns, others = _received(batches, known)
+    def __init__(self, received: tuple[pa.Array, list[list[np.ndarray]], list[list]], length: int, front: bool = False):
+        self.tokens, columns, others = received
         self.most, self.length = len(self.tokens) + 1, length
         self.root = sum(o[2] for o in others)
         self.any = any(o[2] for o in others)
@@ -350,7 +350,7 @@ def _given(names: list[str], parts: int, k: int, name: Callable[[slice], pa.Arra
 
 def _count(length: int, known: pa.Array) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
-        part = _Part(batches, length, known)
+        part = _Part(_received(batches, known), length)
         give = lambda k, columns, *values: _given(["count", "back_count"], len(values[0]), k, lambda cut: part.names([c[cut] for c in columns]), *values)
         if part.any:
             yield from _given(["count", "back_count"], 1, 0, lambda _: pa.array([""]), np.array([part.root]), np.array([part.root]))
@@ -402,6 +402,205 @@ def count(padded: DataFrame, length: int) -> DataFrame:
     return sent(padded, length, parts_of(padded), known).mapInArrow(_count(length, known), COUNTED)
 
 
+# Counts of several corpora and models
+
+#: Rows of counts that a task gathers before it sends them on.
+STORED = 1_000_000
+
+
+def _stored(parts: int, known: pa.Array, stage: int) -> Callable[[Batches], Batches]:
+    """From counts to blocks of their n-grams, to the parts where _windows() puts the same n-grams."""
+
+    def blocks(held: list[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        table = pa.Table.from_batches(held)
+        for k in pc.unique(table["k"]).to_pylist():
+            rows = table.filter(pc.equal(table["k"], k)).combine_chunks()
+            count_, back = (pc.fill_null(rows[c], 0).to_numpy() for c in ("count", "back_count"))
+            values = [count_, back, pc.is_valid(rows["back_count"]).to_numpy().astype(np.int64)]
+            if k == 0:
+                yield from _dealt_out(_Sender(known, len(known)), np.zeros(len(count_), np.int64), 0, [], values, parts, stage)
+                continue
+            names = rows["ngram"].combine_chunks()
+            names = names.chunk(0) if isinstance(names, pa.ChunkedArray) else names
+            tokens, ids = _sorted_tokens(known, pc.split_pattern(names, SEP).flatten() if k > 1 else names)
+            columns = list(ids.reshape(-1, k).T)
+            hashes = np.concatenate([np.zeros(1, np.uint64), _hashes(tokens)])
+            to = _parts(hashes, columns[0], columns[min(k, 2) - 1], np.full(len(hashes), k > 1), parts)
+            yield from _dealt_out(_Sender(tokens, len(known)), to, k, columns, values, parts, stage)
+
+    def run(batches: Batches) -> Batches:
+        held, many = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                many += batch.num_rows
+            if many >= STORED:
+                yield from _sent(blocks(held))
+                held, many = [], 0
+        if held:
+            yield from _sent(blocks(held))
+
+    return run
+
+
+def _folded(known: pa.Array, taken: list[int | None], lengths: list[int]) -> Callable[[Batches], Batches]:
+    """Counts of a part after all stages: each adds what came with its number, then takes so many from every count, nothing where that is None. lengths: of the windows of each stage."""
+
+    def run(batches: Batches) -> Batches:
+        tokens, columns, others = _received(batches, known)
+        most = len(tokens) + 1
+        # By length: (columns, count, back_count, whether back_count is known, stage), each without repetitions but for stored ones.
+        found: dict[int, list[tuple]] = {}
+        windows: dict[tuple[int, int], list[int]] = {}
+        for i, o in enumerate(others):
+            if isinstance(o[0], int):
+                count_, back, some = (v.astype(np.int64) for v in o[1])
+                found.setdefault(o[0], []).append((columns[i], count_, back, some, o[2], False))
+            else:
+                windows.setdefault((o[3], lengths[o[3]]), []).append(i)
+        for (stage, length), own in windows.items():
+            part = _Part((tokens, [columns[i] for i in own], [others[i] for i in own]), length)
+            if part.any:
+                found.setdefault(0, []).append(([], np.array([part.root]), np.array([part.root]), np.ones(1, np.int64), stage, True))
+            some = np.flatnonzero((part.single[0] > 0) | (part.single[1] > 0))
+            found.setdefault(1, []).append(([some], part.single[0][some], part.single[1][some], np.ones(len(some), np.int64), stage, True))
+            for k, _, starts, times in part.depths():
+                if k > 1:
+                    real = part.t[k - 1][starts] > 0
+                    at, times = starts[real], times[real]
+                    found.setdefault(k, []).append(([c[at] for c in part.t[:k]], times, times, np.ones(len(at), np.int64), stage, True))
+        del columns, others, windows
+        for k in sorted(found):
+            pieces = found.pop(k)
+            t = [np.concatenate([p[0][j] for p in pieces]) for j in range(k)]
+            count_, back, some = (np.concatenate([p[j] for p in pieces]) for j in (1, 2, 3))
+            at = np.repeat([p[4] for p in pieces], [len(p[1]) for p in pieces])
+            if len(pieces) == 1 and pieces[0][5]:
+                group = first = np.arange(len(count_))
+            elif k == 0:
+                group, first = np.zeros(len(count_), np.int64), np.zeros(1, np.int64)
+            else:
+                keys = _keys(t, [most] * k)
+                order = _order(keys)
+                changed = _changes([key[order] for key in keys])
+                group, first = np.empty(len(order), np.int64), order[changed]
+                group[order] = np.cumsum(changed) - 1
+            c, b, known_back = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), np.zeros(len(first), bool)
+            for stage in range(len(taken) + 1):
+                rows = np.flatnonzero(at == stage)
+                if len(rows):
+                    c += _totals(group[rows], count_[rows], len(first))
+                    b += _totals(group[rows], back[rows], len(first))
+                    known_back |= np.bincount(group[rows], some[rows], len(first)) > 0
+                if k and stage < len(taken) and taken[stage] is not None:
+                    c, b = np.maximum(c - taken[stage], 0), np.maximum(b - taken[stage], 0)
+                    known_back[:] = True
+            kept = np.flatnonzero((c > 0) | (b > 0)) if k and any(q is not None for q in taken) else np.arange(len(first))
+            for lo in range(0, len(kept), ROWS):
+                rows = kept[lo : lo + ROWS]
+                ngram = _names(tokens, [x[first[rows]] for x in t]) if k else pa.array([""] * len(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), ngram, pa.array(c[rows]), pa.array(b[rows], mask=~known_back[rows])], names=["k", "ngram", "count", "back_count"])
+
+    return run
+
+
+def folded(steps: Sequence[tuple]) -> DataFrame:
+    """Counts after steps, in their order: ("sentences", padded, longest n-gram) and ("counts", counts) add, ("prune", q) takes as counts.prune() does.
+
+    Windows and n-grams of counts meet in their parts, in one shuffle of all.
+    """
+    taken: list[int | None] = []
+    added: list[tuple[int, tuple]] = []
+    lengths: list[int] = []
+    for step in steps:
+        if step[0] == "prune":
+            taken.append(step[1])
+        else:
+            # Windows of other lengths are another stage, which takes nothing before it.
+            if step[0] == "sentences" and len(lengths) > len(taken) and lengths[len(taken)] not in (0, step[2]):
+                taken.append(None)
+            lengths += [0] * (len(taken) + 1 - len(lengths))
+            if step[0] == "sentences":
+                lengths[len(taken)] = step[2]
+            added.append((len(taken), step))
+    frames = [step[1] for _, step in added]
+    spark = frames[0].sparkSession
+    sizes = [read_bytes(f)[0] for f in frames]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(sizes) // PART_BYTES)
+    texts = [i for i, (_, step) in enumerate(added) if step[0] == "sentences"]
+    known = known_tokens(frames[max(texts, key=sizes.__getitem__)]) if texts else pa.array([], pa.string())
+    out = None
+    for stage, step in added:
+        if step[0] == "sentences":
+            blocks = step[1].mapInArrow(_windows(step[2], parts, known, stage=stage), BLOCKS)
+        else:
+            own = step[1].select(F.col("k").cast("int"), F.col("ngram").cast("string"), F.col("count").cast("long"), F.col("back_count").cast("long"))
+            blocks = own.mapInArrow(_stored(parts, known, stage), BLOCKS)
+        out = blocks if out is None else out.unionByName(blocks)
+    return out.repartitionById(parts, "p").mapInArrow(_folded(known, taken, lengths), COUNTED)
+
+
+# Leaves, and what is pruned from them upwards
+
+LEAVES, LEAFWISE, HAPAX = "leaves", "leafwise", "hapax"
+
+
+def _trimmed(length: int, of: Sample, rule: str, q: int, top: bool) -> Callable[[Batches], Batches]:
+    """(k, ngram, n, kept) by that rule. top: what a part adds to the empty n-gram and the frequent tokens; else its other n-grams, that stay."""
+
+    def run(batches: Batches) -> Batches:
+        part = _Part(_received(batches, of.known), length)
+        if not len(part.times):
+            return
+        levels, place = [], None
+        for k, group, starts, times in part.depths():
+            real = part.t[k - 1][starts] > 0
+            at = starts[real]
+            levels.append((at, times[real], place[at] if k > 1 else np.zeros(len(at), np.int64)))
+            place = (np.cumsum(real) - 1)[group]
+        lost, children = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        out = []
+        for k in range(length, 0, -1):
+            at, n, _ = levels[k - 1]
+            below = _totals(children, lost, len(at))
+            leaf = np.bincount(children, minlength=len(at)) == 0
+            own = np.where(leaf, np.minimum(n, q), below) if rule == LEAFWISE else below
+            stays = leaf if rule == LEAVES else (n > 1) & (n > own) if rule == HAPAX else n > own
+            out.append((k, at, n, n - own if rule != LEAVES else n, stays))
+            # What the n-gram above loses by this one.
+            lost, children = np.where(n == 1, 1, own) if rule == HAPAX else own, levels[k - 1][2]
+        frequent_ = np.concatenate([[False], pc.is_in(part.tokens, of.frequent).to_numpy(zero_copy_only=False)])
+        names = ["n", "kept"]
+        give = lambda k, at, *values: _given(names, len(at), k, lambda cut: part.names([c[at[cut]] for c in part.t[:k]]), *values)
+        k, at, n, kept, stays = out.pop()
+        many = frequent_[part.t[0][at]]
+        if top:
+            yield from _given(names, 1, 0, lambda _: pa.array([""]), np.array([n.sum()]), np.array([kept.sum()]))
+            yield from give(1, at[many], n[many], kept[many])
+            return
+        out.append((k, at, n, kept, stays & ~many))
+        for k, at, n, kept, stays in out:
+            yield from give(k, at[stays], n[stays], kept[stays])
+
+    return run
+
+
+def trimmed(padded: DataFrame, length: int, rule: str, q: int = 1) -> DataFrame:
+    """(k, ngram, count) of a corpus with n-grams of one length from 2 on, read forwards: counts.leaves(), prune_leaves() or prune_hapax() of its counts.
+
+    What goes is a matter of n-grams with the same two first tokens, as windows are parted; of the
+    empty n-gram and the frequent tokens the parts add up.
+    """
+    of = sample(padded)
+    blocks = sent(padded, length, parts_of(padded), of.known, frequent=of.frequent)
+    schema = "k int, ngram string, n long, kept long"
+    rows = blocks.mapInArrow(_trimmed(length, of, rule, q, False), schema)
+    if rule != LEAVES:  # a token that a window begins with is no leaf
+        tops = blocks.mapInArrow(_trimmed(length, of, rule, q, True), schema).groupBy("k", "ngram").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"))
+        rows = rows.unionByName(tops.where(f"k = 0 OR (kept > 0 AND n > {1 if rule == HAPAX else 0})"))
+    return rows.select("k", "ngram", F.col("kept").alias("count"))
+
+
 # Measures
 
 MEASURED = "k int, ngram string, count long, h double, above double, top string, back_h double, back_above double, back_top string"
@@ -412,7 +611,7 @@ class _Measured(_Part):
     """A part with the token in front of each window, and which of its tokens are frequent or markers."""
 
     def __init__(self, batches: Batches, length: int, tokens: Sample):
-        super().__init__(batches, length, tokens.known, True)
+        super().__init__(_received(batches, tokens.known), length, True)
         held = lambda values: np.concatenate([[False], pc.is_in(self.tokens, values).to_numpy(zero_copy_only=False)])
         self.many, self.marker = held(tokens.frequent), held(pa.array(MARKERS, pa.string()))
 
@@ -494,13 +693,13 @@ def _entropies(length: int, of: Sample) -> Callable[[Batches], Batches]:
     return run
 
 
-def _dealt_out(sender: _Sender, to: np.ndarray, k: int, columns: list[np.ndarray], values: list[np.ndarray], parts: int) -> Iterator[tuple[int, int, bytes]]:
-    """A block for each part that rows go to: k, columns and values."""
+def _dealt_out(sender: _Sender, to: np.ndarray, k: int, columns: list[np.ndarray], values: list[np.ndarray], parts: int, *more: object) -> Iterator[tuple[int, int, bytes]]:
+    """A block for each part that rows go to: k, columns, values and more."""
     order = np.argsort(to, kind="stable")
     ends = np.searchsorted(to[order], np.arange(parts + 1))
     for i in np.flatnonzero(np.diff(ends)).tolist():
         rows = order[ends[i] : ends[i + 1]]
-        yield i, *sender.block([c[rows] for c in columns], k, [_small(v[rows]) if v.dtype.kind == "i" else v[rows] for v in values])
+        yield i, *sender.block([c[rows] for c in columns], k, [_small(v[rows]) if v.dtype.kind == "i" else v[rows] for v in values], *more)
 
 
 def _asked(length: int, parts: int, of: Sample) -> Callable[[Batches], Batches]:

@@ -21,27 +21,40 @@ DEFAULT_LENGTH = 5
 class NgramModel:
     """Counts of n-grams up to default_ngram_length tokens; models are values, adding gives a new one."""
 
-    def __init__(self, spark: SparkSession, default_ngram_length: int = DEFAULT_LENGTH, counts: DataFrame | None = None, sentences: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, default_ngram_length: int = DEFAULT_LENGTH, counts: DataFrame | None = None, sentences: DataFrame | None = None, steps: tuple[tuple, ...] | None = None):
         if not isinstance(default_ngram_length, int) or default_ngram_length < 1:
             raise ValueError("default_ngram_length is an int from 1 on")
         self.spark = spark
         self.default_ngram_length = default_ngram_length
-        self.counts = spark.createDataFrame([], "k int, ngram string, count long, back_count long") if counts is None else counts
+        #: What counts come from, as windows.folded() has it.
+        self._steps = steps if steps is not None else () if counts is None else (("counts", counts),)
         #: What counts are of, where that is one corpus with n-grams of one length: its windows then give the statistics.
         self._sentences = sentences
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        """(k, ngram, count, back_count)."""
+        steps = self._steps
+        if not steps:
+            return self.spark.createDataFrame([], "k int, ngram string, count long, back_count long")
+        if steps[-1][0] == "prune":
+            return C.prune(NgramModel(self.spark, self.default_ngram_length, steps=steps[:-1]).counts, steps[-1][1])
+        if len(steps) > 1:
+            return W.folded(steps)
+        return steps[0][1] if steps[0][0] == "counts" else W.count(*steps[0][1:])
+
     # Training
 
     @classmethod
     def fit(cls, sentences: DataFrame, default_ngram_length: int = DEFAULT_LENGTH, longest: int | None = None) -> NgramModel:
         """Model of sentences (tokens array<string>, freq, ngram_length; the latter two may be absent)."""
         one = longest is None and "ngram_length" not in sentences.columns and default_ngram_length > 1
-        return cls(sentences.sparkSession, default_ngram_length, C.count(sentences, default_ngram_length, longest), sentences if one else None)
+        step = ("sentences", C.padded(sentences, default_ngram_length), longest or default_ngram_length)
+        return cls(sentences.sparkSession, default_ngram_length, sentences=sentences if one else None, steps=(step,))
 
     def add(self, sentences: DataFrame, longest: int | None = None) -> NgramModel:
         """The model with more sentences; statistics are those of all."""
-        more = C.count(sentences, self.default_ngram_length, longest)
-        return self._with(C.merge(self.counts, more))
+        return self._after(("sentences", C.padded(sentences, self.default_ngram_length), longest or self.default_ngram_length))
 
     def add_sentence(self, sentence: Sequence[str], freq: int = 1, ngram_length: int | None = None) -> NgramModel:
         """The model with one sentence more, of a list, tuple or string (a token for each character)."""
@@ -53,22 +66,41 @@ class NgramModel:
         return self.add(row, max(self.default_ngram_length, ngram_length or 0))
 
     def merge(self, other: NgramModel) -> NgramModel:
-        return self._with(C.merge(self.counts, other.counts))
+        pruned = any(step[0] == "prune" for step in other._steps)
+        return self._after(*([("counts", other.counts)] if pruned else other._steps))
 
     def prune(self, q: int = 1) -> NgramModel:
-        return self._with(C.prune(self.counts, q))
+        return self._after(("prune", q))
 
     def clear(self) -> NgramModel:
         return NgramModel(self.spark, self.default_ngram_length)
 
-    def _with(self, counts: DataFrame) -> NgramModel:
-        return NgramModel(self.spark, self.default_ngram_length, counts)
+    def _after(self, *steps: tuple) -> NgramModel:
+        return NgramModel(self.spark, self.default_ngram_length, steps=(*self._steps, *steps))
 
     def persist(self) -> NgramModel:
         """Keeps counts: both directions' entropies and all lookups read them."""
         self.counts = self.counts.persist()
+        self._steps = (("counts", self.counts),)
         return self
 
+    # Read forwards: the leaves, and what the variants of pruning leave
+
+    def leaves(self) -> DataFrame:
+        """(k, ngram, count) of the n-grams that no longer one continues."""
+        return C.leaves(self.counts).select("k", "ngram", "count") if self._sentences is None else self._trimmed(W.LEAVES)
+
+    def pruned_leaves(self, q: int = 1) -> DataFrame:
+        """(k, ngram, count) as C.prune_leaves()."""
+        return C.prune_leaves(self.counts, q) if self._sentences is None else self._trimmed(W.LEAFWISE, q)
+
+    def pruned_hapax(self) -> DataFrame:
+        """(k, ngram, count) as C.prune_hapax()."""
+        return C.prune_hapax(self.counts) if self._sentences is None else self._trimmed(W.HAPAX)
+
+    def _trimmed(self, rule: str, q: int = 1) -> DataFrame:
+        return W.trimmed(C.padded(self._sentences, self.default_ngram_length), self.default_ngram_length, rule, q)
+
     # Statistics
 
     @cached_property

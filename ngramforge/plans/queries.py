@@ -120,7 +120,7 @@ def vocabulary_unmarked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def leaf_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.leaves(_model(spark, sf_dir).counts).select("k", _name(), "count")
+    return _model(spark, sf_dir).leaves().select("k", _name(), "count")
 
 
 @_query
@@ -130,17 +130,17 @@ def max_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.prune(_model(spark, sf_dir).counts, 1).select("k", _name(), "count", "back_count")
+    return _model(spark, sf_dir).prune(1).counts.select("k", _name(), "count", "back_count")
 
 
 @_query
 def prune_leafwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.prune_leaves(_model(spark, sf_dir).counts, 1).select("k", _name(), "count")
+    return _model(spark, sf_dir).pruned_leaves(1).select("k", _name(), "count")
 
 
 @_query
 def prune_hapax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.prune_hapax(_model(spark, sf_dir).counts).select("k", _name(), "count")
+    return _model(spark, sf_dir).pruned_hapax().select("k", _name(), "count")
 
 
 @_query

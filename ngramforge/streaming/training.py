@@ -55,12 +55,10 @@ def add_batch(sentences: DataFrame, version: int, path: str, length: int, prune:
     """
     spark = sentences.sparkSession
     old = [v for v in _versions(spark, path) if v < version]
-    new = C.count(sentences, length)
-    if old:
-        new = C.merge(spark.read.parquet(f"{path}/version={old[-1]}"), new)
+    model = NgramModel(spark, length, spark.read.parquet(f"{path}/version={old[-1]}") if old else None).add(sentences)
     if prune:
-        new = C.prune(new, prune)
-    new.write.mode("overwrite").parquet(f"{path}/version={version}")
+        model = model.prune(prune)
+    model.counts.write.mode("overwrite").parquet(f"{path}/version={version}")
     for v in old[:-2]:
         _drop(spark, f"{path}/version={v}")
 

@@ -94,3 +94,38 @@ def test_mean_entropies_and_own_slices_need_no_further_shuffle(spark, sf_dir):
     assert _plan(own).count("Exchange") < _plan(asked).count("Exchange")
     a, b = ({tuple(r.ngram): r["count"] for r in x.collect()} for x in (own, asked))
     assert a == b
+
+
+def test_models_that_grow_are_folded_in_one_shuffle(spark):
+    odd, more = _odd(spark), spark.createDataFrame([(["a", "b", "a"], 2), (["new", "\x1e\x1f", ""], 1)], "tokens array<string>, freq long")
+    counted = C.count(odd, 3, 5), C.count(more, 3)
+    bare = C.count_ngrams(spark.createDataFrame([(["a", "b"],), (["bare"],)], "ngram array<string>"))
+    one, two = NgramModel.fit(odd, 3, 5), NgramModel.fit(more, 3)
+    for found, want in (
+        (one.merge(two), C.merge(*counted)),
+        (one.prune(2).add(more), C.merge(C.prune(counted[0], 2), counted[1])),
+        (one.merge(two.prune(1)).prune(1).merge(two), C.merge(C.prune(C.merge(counted[0], C.prune(counted[1], 1)), 1), counted[1])),
+        (NgramModel(spark, 3, counted[0]).add(more), C.merge(*counted)),
+        (NgramModel(spark, 3, bare).merge(two), C.merge(bare, counted[1])),
+    ):
+        assert _sorted_nulls(found.counts) == _sorted_nulls(want)
+        assert found._steps[0][1] is bare or "hashpartitioning(k" not in _plan(found.counts)
+
+
+def _sorted_nulls(counts):
+    return sorted(map(tuple, counts.select(*C.COUNTS).collect()), key=repr)
+
+
+@pytest.mark.parametrize("length", [2, 4])
+def test_leaves_and_pruning_from_windows(spark, sf_dir, length):
+    few = corpora.lines_of(corpora.table(spark, f"{sf_dir}/documents.parquet")).where("doc_id < 20").select("tokens", F.lit(1).alias("freq"))
+    for rows in (_odd(spark).drop("ngram_length"), few, few.limit(0)):
+        model = NgramModel.fit(rows, length)
+        counts = model.counts.persist()
+        for found, want in (
+            (model.leaves(), C.leaves(counts).select("k", "ngram", "count")),
+            (model.pruned_leaves(2), C.prune_leaves(counts, 2)),
+            (model.pruned_hapax(), C.prune_hapax(counts)),
+        ):
+            assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+            assert "Join" not in _plan(found)
