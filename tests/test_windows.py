@@ -1,7 +1,10 @@
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ngramforge.functions import keys
 from ngramforge.operators import counts as C
 from ngramforge.operators import lexicon
 from ngramforge.operators import windows as W
@@ -129,3 +132,17 @@ def test_leaves_and_pruning_from_windows(spark, sf_dir, length):
         ):
             assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
             assert "Join" not in _plan(found)
+
+
+def test_long_models_move_no_settled_ngrams():
+    """Hardly any of these n-grams of four tokens occurs twice; only those that may have an autonomy are moved."""
+    draw = random.Random(1)
+    rows = [[keys.START, *(f"w{draw.randrange(20)}" for _ in range(12)), keys.END] for _ in range(120)]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows), pa.array([1] * 120, pa.int64()), pa.array([5] * 120, pa.int32())], names=["tokens", "freq", "n"])
+    of = W.Sample(pa.array([], pa.string()), pa.array(keys.MARKERS))
+    blocks = list(W._windows(5, 1, of.known, True, of.frequent)(iter([batch])))
+    found = {k: (len(at), int(settled.sum())) for k, at, *_, settled in W._Measured(iter(blocks), 5, of).ngrams()}
+    _, columns, others = W._received(W._asked(5, 1, of)(iter(blocks)), of.known)
+    moved = sum(len(c[0]) for c, o in zip(columns, others, strict=True) if o[0] == 4)
+    assert found[1][1] == found[2][1] == 0
+    assert moved == found[4][0] - found[4][1] < found[4][0] / 2
